@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secret_scan, url_rules
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(docs, quality_rules.train(docs, C.table(spark, sf_dir, "labels")))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.report(C.table(spark, sf_dir, "pages"), C.table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(C.documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(C.documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(C.documents(spark, sf_dir), C.table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_line_dedup, op3_quality_rules, op5_simhash, op8_decontamination, op9_mixing)
+    own = (op2_line_dedup, op3_quality_rules, op4_url_rules, op5_simhash, op6_secret_scan, op8_decontamination, op9_mixing)
     return {f.__name__: f for f in own}
 
 
