@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secret_scan, url_rules
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secret_scan, suffix_dedup, token_counts, url_rules
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(C.documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(C.documents(spark, sf_dir), *token_counts.read_vocabulary())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(C.documents(spark, sf_dir), C.table(spark, sf_dir, "benchmark"))
 
@@ -39,8 +43,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(C.documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(C.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_line_dedup, op3_quality_rules, op4_url_rules, op5_simhash, op6_secret_scan, op8_decontamination, op9_mixing)
+    own = (op2_line_dedup, op3_quality_rules, op4_url_rules, op5_simhash, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
