@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secret_scan, suffix_dedup, token_counts, url_rules
+from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, suffix_dedup, token_counts, url_rules
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.report(C.documents(spark, sf_dir))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_line_dedup, op3_quality_rules, op4_url_rules, op5_simhash, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing, op10_suffix_dedup)
+    own = (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_rules, op5_simhash, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
