@@ -18,7 +18,7 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A row without a doc_id counts as the document of the largest id.
 NO_ID = 2**63 - 1
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 _own_dir: list[str] = []
 
