@@ -36,7 +36,9 @@ GRAM = 128
 #: Contexts of one gram that a task sorts.
 GROUP_ROWS = 20_000
 #: Contexts that a task sorts at once.
-BATCH_ROWS = 4_000
+BATCH_ROWS = 2_000
+#: Windows that a task compares at once.
+WINDOWS = 200_000
 _CHUNK = 1 << 19
 _BITS = 20
 
@@ -155,9 +157,15 @@ def shared_windows(contexts: list[bytes], low: np.ndarray, high: np.ndarray, fir
     allowed = np.maximum(0, top - least + 1)
     unsettled = np.unique(group[allowed > settled])
     open_ = np.flatnonzero(np.isin(group, unsettled) & (allowed > 0))
-    if open_.size:
-        i = np.repeat(open_, allowed[open_])
-        offset = np.concatenate([np.arange(a, b + 1) for a, b in zip(least[open_], top[open_], strict=True)])
+    # Windows of different offsets never meet, so offsets are taken a few at a time.
+    step = max(1, WINDOWS // max(1, open_.size))
+    for start in range(0, length if open_.size else 0, step):
+        a, b = np.maximum(least[open_], start), np.minimum(top[open_], start + step - 1)
+        count = np.maximum(0, b - a + 1)
+        if not count.any():
+            continue
+        i = np.repeat(open_, count)
+        offset = np.repeat(a, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         pieces = texts.piece(i, -offset, np.full(len(i), length))
         order = np.lexsort((pieces, offset, group[i]))
         same = (pieces[order][1:] == pieces[order][:-1]) & (offset[order][1:] == offset[order][:-1]) & (group[i][order][1:] == group[i][order][:-1])

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
+SLICE = 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -44,9 +45,13 @@ class Texts:
         self.data = np.concatenate((data, np.zeros(1, np.uint8)))
         n = 1 << int(max(sizes.max(initial=1), 1)).bit_length()
         up, self.down = powers(n)
-        local = np.arange(len(data)) - np.repeat(self.start, sizes)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[local], out=self.prefix[1:])
+        for a in range(0, len(texts), SLICE):  # eight bytes for each of the texts, and little besides
+            own, from_ = sizes[a : a + SLICE], self.start[a : a + SLICE]
+            lo, hi = int(from_[0]), int(from_[-1] + own[-1])
+            local = np.arange(lo, hi) - np.repeat(from_, own)
+            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[local], out=self.prefix[lo + 1 : hi + 1])
+            self.prefix[lo + 1 : hi + 1] += self.prefix[lo]
 
     def piece(self, i: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The hash of size bytes from offset before or after the marks of texts i."""
