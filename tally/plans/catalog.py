@@ -1,21 +1,20 @@
-"""The named queries: each a function of (spark, sf_dir), with SQL for the oracle where there is such SQL."""
+"""The named queries and their SQL for the oracle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import audits, counting, lifecycle, ordering, streams
+from .registry import ORACLE, QUERIES
 
-def _topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "key").limit(100)
+MODULES = (audits, counting, lifecycle, ordering, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"topk_exact": _topk_exact}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"topk_exact": "SELECT user_id AS key, count(*) AS cnt FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"}
+    return dict(ORACLE)
