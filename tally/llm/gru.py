@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 FLOAT = np.float32
+RATE = 4e-3
 
 
 @dataclass(frozen=True)
@@ -235,16 +236,27 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     return float(loss), grad, hs[-1]
 
 
-def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, adam: Adam | None = None, steps: int = 16, streams: int = 64, clip: float = 1.0, rate: float = 4e-3) -> np.ndarray:
+def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, adam: Adam | None = None, steps: int = 16, streams: int = 64, clip: float = 1.0, rate: float = RATE) -> np.ndarray:
     """The weights after one pass over docs."""
     vector = vector.copy()
     if not docs:
         return vector
     adam = adam or Adam(len(vector), rate)
-    h = None
-    for target, given, start, _, live in Streams(docs, end, streams, streams).windows(steps):
-        h = np.zeros((target.shape[1], shape.hidden), FLOAT) if h is None else h[: target.shape[1]]
-        _, grad, h = gradient(vector, shape, h, target, given, start, live)
+    # All documents end to end, cut into equal streams: none waits for the longest document.
+    target, given = np.concatenate(docs).astype(np.int64), np.empty(sum(map(len, docs)), np.int64)
+    start = np.zeros(len(target), bool)
+    start[np.cumsum([0, *map(len, docs[:-1])])] = True
+    given[1:] = target[:-1]
+    given[start] = end
+    streams = min(streams, len(target))
+    long = -(-len(target) // streams)
+    lanes = lambda x: np.resize(x, streams * long).reshape(streams, long).T
+    target, given, start = lanes(target), lanes(given), lanes(start)
+    h = np.zeros((streams, shape.hidden), FLOAT)
+    for at in range(0, long, steps):
+        part = slice(at, at + steps)
+        live = np.full(len(target[part]), streams)
+        _, grad, h = gradient(vector, shape, h, target[part], given[part], start[part], live)
         norm = float(np.sqrt((grad * grad).sum()))
         adam.update(vector, grad * FLOAT(min(1.0, clip / max(norm, 1e-12))))
     return vector

@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +56,14 @@ def _packs(pack_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        numbers, trained, dids, sizes, tokens, held = {}, [], [], [], [], 0
+        numbers, tokens, dids, sizes, held = defaultdict(count().__next__), array("I"), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             pack = base | made
-            blob = zlib.compress(np.array(tokens, np.uint32).tobytes(), 1)
+            ids = np.frombuffer(tokens, np.uint32)
+            learnt = np.repeat([not held_out(d) for d in dids], sizes)
+            trained = np.bincount(ids[learnt], minlength=len(numbers))
+            blob = zlib.compress(ids.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack], [None], [None], [None], [dids], [sizes], [blob]), _PACK_PA, strict=True)], schema=_PACK_PA)
             words = list(numbers)
             for a in range(0, len(words), 20_000):
@@ -67,22 +73,16 @@ def _packs(pack_bytes: int):
 
         for ids, texts in C.rows_of(batches, "did", "text"):
             for did, text in zip(ids, texts, strict=True):
-                counts = not held_out(did)
                 words = text.lower().split()
                 words.append(END)
-                for w in words:
-                    k = numbers.setdefault(w, len(numbers))
-                    if k == len(trained):
-                        trained.append(0)
-                    tokens.append(k)
-                    trained[k] += counts
+                tokens.extend(map(numbers.__getitem__, words))
                 dids.append(did)
                 sizes.append(len(words))
                 held += len(text)
                 if held >= pack_bytes:
                     yield from flush()
                     made += 1
-                    numbers, trained, dids, sizes, tokens, held = {}, [], [], [], [], 0
+                    numbers, tokens, dids, sizes, held = defaultdict(count().__next__), array("I"), [], [], 0
         if dids:
             yield from flush()
 
@@ -102,16 +102,16 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
         for b in batches:
             for i in range(b.num_rows):
                 words = b.column("words")[i].values
-                number, count, unit = (words.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                number, total_count, unit = (words.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 place = np.empty(len(number), np.int64)
                 place[number] = np.arange(len(number))
-                count, unit = count[place], unit[place]
-                logs = np.log10(count + ADDED)
+                total_count, unit = total_count[place], unit[place]
+                logs = np.log10(total_count + ADDED)
                 inside = np.where(unit >= WORD_UNITS, logs - np.log10(mass[np.where(unit >= WORD_UNITS, unit, 0)]), 0.0)
                 tokens = np.frombuffer(zlib.decompress(b.column("tokens")[i].as_py()), np.uint32)
                 sizes = b.column("sizes")[i].values.to_numpy()
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((count > 0).astype(float), logs - scale, inside)]
+                sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((total_count > 0).astype(float), logs - scale, inside)]
                 rows = [[b.column("dids")[i].as_py()], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
 
@@ -184,7 +184,7 @@ def train(corpus: Corpus, stride: int = STRIDE, rounds: int = ROUNDS, seed: int
     for turn in range(rounds):
         start = vector
         # Adam's first steps from averaged weights should be small ones.
-        rate = 4e-3 / (1 + turn)
+        rate = gru.RATE / (1 + turn)
 
         def learn(batches, start=start, turn=turn, rate=rate):
             weights, tokens, adam = start, 0, gru.Adam(len(start), rate)
