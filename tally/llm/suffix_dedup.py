@@ -80,43 +80,65 @@ def anchors_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
     return h[at].view(np.int64), at, at - last, at - first
 
 
-_ANCHOR = "g long, did long, k1 long, k2 long, at int, low int, high int"
+_ANCHOR = "g long, did long, k1 long, k2 long, low int, high int, places binary, n int"
 
 
 def _anchors(length: int, gram: int):
-    schema = pa.schema([("g", pa.int64()), ("did", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+    """Anchors of one text that have gram and offsets in common are one row with all their positions: periodic text has many."""
+    schema = pa.schema([("g", pa.int64()), ("did", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("places", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dids, k1s, k2s, texts in C.rows_of(batches, "did", "k1", "k2", "text"):
-            got = [anchors_of(t, length, gram) for t in texts]
-            counts = [len(x[0]) for x in got]
-            ids = [np.repeat(np.array(v, np.int64), counts) for v in (dids, k1s, k2s)]
-            g, at, low, high = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(g), *map(pa.array, ids), *(pa.array(x.astype(np.int32)) for x in (at, low, high))], schema=schema)
+            parts: list[list] = [[] for _ in schema]
+            for did, k1, k2, text in zip(dids, k1s, k2s, texts, strict=True):
+                g, at, low, high = anchors_of(text, length, gram)
+                order = np.lexsort((at, high, low, g))
+                g, low, high = g[order], low[order], high[order]
+                first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(g) else np.zeros(0, int)
+                end = np.append(first[1:], len(g)) if len(g) else first
+                raw = at[order].astype(np.int32).tobytes()
+                places = [raw[4 * x : 4 * y] for x, y in zip(first.tolist(), end.tolist(), strict=True)]
+                k = len(first)
+                for column, values in zip(parts, (g[first], [did] * k, [k1] * k, [k2] * k, low[first], high[first], places, end - first), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(parts, schema, strict=True)], schema=schema)
 
     return run
 
 
-_CONTEXT = "g long, c1 long, c2 long, context binary, k1 long, k2 long, at int, low int, high int"
+_CONTEXT = "g long, c1 long, c2 long, context binary, k1 long, k2 long, low int, high int, places binary, n int"
+_CONTEXT_PA = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("context", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("places", pa.binary()), ("n", pa.int32())])
+_EMIT_ROWS = 2_000
 
 
 def _contexts(length: int):
     """Cuts the text around each wanted anchor; c1 and c2 name the context by its bytes and offsets."""
-    schema = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("context", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_CONTEXT_PA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT_PA, strict=True)], schema=_CONTEXT_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k1s, k2s, texts, wanted in C.rows_of(batches, "k1", "k2", "text", "wanted"):
-            rows, names = [], []
-            for k1, k2, text, anchors in zip(k1s, k2s, texts, wanted, strict=True):
-                for x in anchors:
-                    g, at, low, high = x["g"], x["at"], x["low"], x["high"]
-                    piece = text[at - high : at - low + length]
-                    names.append(xxhash.xxh3_128_digest(piece, low << 10 | high))
-                    rows.append((g, piece, k1, k2, at, low, high))
-            name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            g, piece, *rest = zip(*rows, strict=True) if rows else ([],) * 7
-            columns = [g, np.ascontiguousarray(name[:, 0]), np.ascontiguousarray(name[:, 1]), piece, *rest]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        rows: list[tuple] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                k1, k2, text = (b.column(n)[i].as_py() for n in ("k1", "k2", "text"))
+                text, wanted = text.encode(), b.column("wanted")[i].values
+                for g, low, high, places in zip(*(wanted.field(k).to_pylist() for k in range(4)), strict=True):
+                    found: dict[bytes, list[int]] = {}
+                    pieces: dict[bytes, bytes] = {}
+                    for at in np.frombuffer(places, np.int32).tolist():
+                        piece = text[at - high : at - low + length]
+                        name = xxhash.xxh3_128_digest(piece, low << 10 | high)
+                        found.setdefault(name, []).append(at)
+                        pieces.setdefault(name, piece)
+                    for name, at in found.items():
+                        c1, c2 = np.frombuffer(name, "<i8").tolist()
+                        rows.append((g, c1, c2, pieces[name], k1, k2, low, high, np.array(at, np.int32).tobytes(), len(at)))
+                    if len(rows) >= _EMIT_ROWS:
+                        yield emit(rows)
+                        rows = []
+        yield emit(rows)
 
     return run
 
@@ -260,17 +282,17 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(k1, k2, whole, ranges): for each text, by its two hashes, that loses something: all of it, or byte ranges (start, end), unmerged."""
+    """(k1, k2, whole, ranges): for each text, by its two hashes, that loses something: all of it, or ranges of window offsets (low, high) at anchors (places), unmerged."""
     C.small_batches(docs.sparkSession)
     marked = _with_keys(docs)
     plain = marked.select(C.id_col().alias("did"), F.col("_sd_k1").alias("k1"), F.col("_sd_k2").alias("k2"), C.text_col().alias("text")).filter(F.octet_length("text") >= length)
     # Equal texts give one row for each anchor, that of the smallest id.
-    anchors = C.staged(plain.mapInArrow(_anchors(length, gram), _ANCHOR).groupBy("g", "k1", "k2", "at", "low", "high").agg(F.min("did").alias("did")), "anchors")
-    again = anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    wanted = anchors.join(again, "g").groupBy("did", "k1", "k2").agg(F.collect_list(F.struct("g", "at", "low", "high")).alias("wanted"))
+    anchors = C.staged(plain.mapInArrow(_anchors(length, gram), _ANCHOR).groupBy("g", "k1", "k2", "low", "high", "places", "n").agg(F.min("did").alias("did")), "anchors")
+    again = anchors.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
+    wanted = anchors.join(again, "g").groupBy("did", "k1", "k2").agg(F.collect_list(F.struct("g", "low", "high", "places")).alias("wanted"))
     around = C.staged(plain.join(wanted, ["did", "k1", "k2"]).mapInArrow(_contexts(length), _CONTEXT), "contexts")
-    place = F.struct("k1", "k2", "at")
-    distinct = around.groupBy("g", "c1", "c2").agg(F.first("context").alias("context"), F.first("low").alias("low"), F.first("high").alias("high"), (F.min(place) != F.max(place)).alias("again"))
+    place = F.struct("k1", "k2", "places")
+    distinct = around.groupBy("g", "c1", "c2").agg(F.first("context").alias("context"), F.first("low").alias("low"), F.first("high").alias("high"), ((F.min(place) != F.max(place)) | (F.max("n") > 1)).alias("again"))
     found = C.staged(distinct.repartition(C.partitions(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_compare(length, group_rows), _FOUND), "shared")
     shared = found.filter(F.col("kind") == _SHARED).select("c1", "c2", "low", "high")
     single = found.filter(F.col("kind") == _WINDOW)
@@ -278,17 +300,17 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
         name = F.struct("c1", "c2")
         twice = single.groupBy("w1", "w2").agg(F.min(name).alias("a"), F.max(name).alias("b")).filter("a != b").select("w1", "w2")
         shared = shared.unionByName(single.join(twice, ["w1", "w2"], "left_semi").select("c1", "c2", "low", "high"))
-    places = around.select("c1", "c2", "k1", "k2", "at").distinct()
-    ranges = places.join(shared, ["c1", "c2"]).select("k1", "k2", F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")).alias("range"), F.lit(False).alias("whole"))
-    copies = plain.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(None).cast("struct<start:int,end:int>").alias("range"), F.lit(True).alias("whole"))
+    places = around.select("c1", "c2", "k1", "k2", "places").distinct()
+    ranges = places.join(shared, ["c1", "c2"]).select("k1", "k2", F.struct("places", "low", "high").alias("range"), F.lit(False).alias("whole"))
+    copies = plain.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2", F.lit(None).cast("struct<places:binary,low:int,high:int>").alias("range"), F.lit(True).alias("whole"))
     return ranges.unionByName(copies).groupBy("k1", "k2").agg(F.max("whole").alias("whole"), F.collect_list("range").alias("ranges"))
 
 
-def removed(text: bytes, whole: bool | None, ranges: list[dict] | None) -> tuple[bytes, int, int]:
+def removed(text: bytes, whole: bool | None, ranges: list | None, length: int = LENGTH) -> tuple[bytes, int, int]:
     """What remains, bytes removed, maximal removed runs."""
     if whole:
         return b"", len(text), 1 if text else 0
-    runs = _merged([(r["start"], r["end"] - 1) for r in ranges or ()])
+    runs = _merged([(at - r["high"], at - r["low"] + length - 1) for r in ranges or () for at in np.frombuffer(r["places"], np.int32).tolist()])
     kept, at = [], 0
     for lo, hi in runs:
         kept.append(text[at:lo])
@@ -308,7 +330,7 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = C.binary(b.column("text"))
-            got = [removed(t, w, r) for t, w, r in zip(texts, b.column("_sd_whole").to_pylist(), b.column("_sd_ranges").to_pylist(), strict=True)]
+            got = [removed(t, w, r, length) for t, w, r in zip(texts, b.column("_sd_whole").to_pylist(), b.column("_sd_ranges").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got])), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long"), C.text_col().alias("text"))
@@ -320,7 +342,7 @@ def apply(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: i
 
     @F.pandas_udf("string")
     def cut(text, whole, ranges):
-        out = [None if w is None else removed(t.encode(), w, list(r))[0].decode("utf-8", "ignore") for t, w, r in zip(text, whole, ranges, strict=True)]
+        out = [None if w is None else removed(t.encode(), w, list(r), length)[0].decode("utf-8", "ignore") for t, w, r in zip(text, whole, ranges, strict=True)]
         return type(text)(out, index=text.index)
 
     out = _joined(docs, length, gram, group_rows)
