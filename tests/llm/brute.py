@@ -124,3 +124,34 @@ def host_path(url):
     rest = url.split("://", 1)[1]
     host = re.match(r"[^/?#]*", rest)[0]
     return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def mix(rows, seed="mix"):
+    """[(doc_id, size, source_size, target, copies)] for (doc_id, text, source) rows: targets by sharing again and again, documents in the order of their draws."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    total = defaultdict(int)
+    for (_, _, s), n in zip(rows, size):
+        total[s] += n
+    order = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, free, left = {}, set(order), sum(size)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * total[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+            left -= 3 * total[s]
+        free -= over
+    copies = [0] * len(rows)
+    for s in order:
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        draw = lambda i: int(hashlib.md5(f"{seed}:{NO_ID if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()[:13], 16)
+        sure = int(target[s] / total[s]) if total[s] else 0
+        want, ahead = target[s] - sure * total[s], 0
+        for i in sorted(own, key=lambda i: (draw(i), NO_ID if rows[i][0] is None else rows[i][0], size[i])):
+            copies[i] = sure + (ahead + size[i] / 2 <= want)
+            ahead += size[i]
+    return [(r[0], n, total[r[2]], target[r[2]], c) for r, n, c in zip(rows, size, copies)]
