@@ -69,28 +69,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _by_class(targets: np.ndarray, width: int):
-    """(class, positions, slots) of the targets, a class at a time."""
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of x less a shift, log of the sum over each column with the shift back). x goes down the columns and is overwritten."""
+    shift = FLOAT(0)
+    if x.max(initial=0) > 60:
+        shift = x.max(axis=0)
+        x -= shift
+    np.exp(x, out=x)
+    return x, np.log(x.sum(axis=0)) + shift
+
+
+def _by_class(targets: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, slice, np.ndarray]]]:
+    """The order that puts targets of a class side by side, and (class, where, slots) of each class in it."""
     classes = targets // width
     order = np.argsort(classes, kind="stable")
-    cut = np.flatnonzero(np.diff(classes[order])) + 1
-    for rows in np.split(order, cut):
-        if len(rows):
-            c = int(classes[rows[0]])
-            yield c, rows, targets[rows] - c * width
+    held, slots = classes[order], (targets - classes * width)[order]
+    edges = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
+    return order, [(int(held[a]), slice(a, b), slots[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
 def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability after its state."""
-    out = _log_softmax(states @ p["cw"] + p["cb"])[np.arange(len(targets)), targets // shape.width]
-    w = shape.width
-    for c, rows, slots in _by_class(targets, w):
-        out[rows] += _log_softmax(states[rows] @ p["uw"][:, c * w : (c + 1) * w] + p["ub"][c * w : (c + 1) * w])[np.arange(len(rows)), slots]
+    w, n = shape.width, np.arange(len(targets))
+    down = np.ascontiguousarray(states.T)
+    x = p["cw"].T @ down + p["cb"][:, None]
+    out = x[targets // w, n]
+    out -= _exponentials(x)[1]
+    order, classes = _by_class(targets, w)
+    down = down[:, order]
+    inside = np.empty(len(targets), x.dtype)
+    for c, at, slots in classes:
+        x = p["uw"][:, c * w : (c + 1) * w].T @ down[:, at] + p["ub"][c * w : (c + 1) * w, None]
+        own = x[slots, n[: len(slots)]]
+        inside[at] = own - _exponentials(x)[1]
+    out[order] += inside
     return out
 
 
@@ -116,28 +128,27 @@ class Streams:
             members[i].append(d)
             heapq.heappush(loads, (load + int(sizes[d]), i))
         members.sort(key=lambda m: -int(sizes[m].sum()))
-        self.targets = [np.concatenate([docs[d] for d in m]).astype(np.int64) for m in members]
-        self.docs = [np.repeat(m, sizes[m]) for m in members]
-        self.length = np.array([len(t) for t in self.targets])
-        self.end = end
+        order = [d for m in members for d in m]
+        self.length = np.array([int(sizes[m].sum()) for m in members], np.int64)
+        self.offset = np.cumsum(self.length) - self.length
+        laid, sizes = [docs[d] for d in order], sizes[order]
+        self.target = np.concatenate(laid).astype(np.int32)
+        self.doc = np.repeat(np.array(order, np.int32), sizes)
+        self.start = np.zeros(len(self.target), bool)
+        self.start[np.cumsum(sizes) - sizes] = True
+        self.given = np.empty_like(self.target)
+        self.given[1:] = self.target[:-1]
+        self.given[self.start] = end
 
     def windows(self, steps: int):
         """(targets, inputs, starts of documents, document numbers), each steps x active streams, with the active streams at each step."""
         for at in range(0, int(self.length.max(initial=0)), steps):
             active = int((self.length > at).sum())
             n = min(steps, int(self.length[0]) - at)
-            target, given, doc = (np.zeros((n, active), np.int64) for _ in range(3))
-            start = np.zeros((n, active), bool)
-            for s in range(active):
-                t, d = self.targets[s][at : at + n], self.docs[s][at : at + n]
-                k = len(t)
-                target[:k, s], doc[:k, s] = t, d
-                before = self.targets[s][at - 1] if at else self.end
-                given[:k, s] = np.concatenate(([before], t[:-1]))
-                start[:k, s] = np.concatenate(([at == 0 or self.docs[s][at - 1] != d[0]], d[1:] != d[:-1]))
-            given[start] = self.end
-            live = (self.length[None, :active] > at + np.arange(n)[:, None]).sum(1)
-            yield target, given, start, doc, live
+            place = at + np.arange(n)[:, None]
+            inside = place < self.length[None, :active]
+            flat = np.where(inside, self.offset[None, :active] + place, 0)
+            yield self.target[flat], self.given[flat], self.start[flat] & inside, self.doc[flat], inside.sum(1)
 
 
 def score(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, steps: int = 48) -> np.ndarray:
@@ -190,29 +201,36 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
         new, z, r, candidate, own = _step(gates[t], h, p["wh"], n)
         tape.append((h, z, r, candidate, own))
         hs.append(new)
-    states, flat = np.concatenate(hs[1:]), target.ravel()
+    flat = target.ravel()
+    down = np.ascontiguousarray(np.concatenate(hs[1:]).T)
     w = weight.ravel() / max(float(weight.sum()), 1.0)
     rows, width = np.arange(len(flat)), shape.width
     grad = np.zeros_like(vector)
     g = split(grad, shape)
-    classes = _log_softmax(states @ p["cw"] + p["cb"])
-    loss = -(classes[rows, flat // width] * w).sum()
-    d = np.exp(classes)
-    d[rows, flat // width] -= 1
-    d *= w[:, None]
-    g["cw"][:], g["cb"][:] = states.T @ d, d.sum(0)
-    dh = d @ p["cw"].T
-    for c, at, slots in _by_class(flat, width):
-        part = slice(c * width, (c + 1) * width)
-        inside = _log_softmax(states[at] @ p["uw"][:, part] + p["ub"][part])
-        k = np.arange(len(at))
-        loss -= (inside[k, slots] * w[at]).sum()
-        d = np.exp(inside)
-        d[k, slots] -= 1
-        d *= w[at][:, None]
-        g["uw"][:, part] += states[at].T @ d
-        g["ub"][part] += d.sum(0)
-        dh[at] += d @ p["uw"][:, part].T
+    d = p["cw"].T @ down + p["cb"][:, None]
+    own = d[flat // width, rows]
+    d, total = _exponentials(d)
+    loss = -((own - total) * w).sum()
+    d *= w / d.sum(axis=0)
+    d[flat // width, rows] -= w
+    g["cw"][:], g["cb"][:] = down @ d.T, d.sum(1)
+    dh = p["cw"] @ d
+    order, classes = _by_class(flat, width)
+    sorted_down, sorted_w = down[:, order], w[order]
+    below = np.empty_like(dh)
+    for c, at, slots in classes:
+        part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
+        d = p["uw"][:, part].T @ sorted_down[:, at] + p["ub"][part, None]
+        own = d[slots, k]
+        d, total = _exponentials(d)
+        loss -= ((own - total) * sorted_w[at]).sum()
+        d *= sorted_w[at] / d.sum(axis=0)
+        d[slots, k] -= sorted_w[at]
+        g["uw"][:, part] += sorted_down[:, at] @ d.T
+        g["ub"][part] += d.sum(1)
+        below[:, at] = p["uw"][:, part] @ d
+    dh[:, order] += below
+    dh = dh.T
     dh = dh.reshape(steps, b, n)
     dgates = np.empty_like(gates)
     carried = np.zeros((b, n), FLOAT)

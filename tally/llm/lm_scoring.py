@@ -41,6 +41,8 @@ ENDING_UNITS = 400
 STRIDE = 12
 ROUNDS = 2
 END = b""
+#: Rows of a batch of words; a pack has one row besides them.
+WORD_BATCH = 10_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -69,7 +71,8 @@ def _packs(pack_bytes: int):
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack] * n, part, range(a, a + n), trained[a : a + n], [None] * n, [None] * n, [None] * n), _PACK_PA, strict=True)], schema=_PACK_PA)
+                columns = [pa.array(np.full(n, pack)), pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_PACK_PA)[4:])], schema=_PACK_PA)
 
         for ids, texts in C.rows_of(batches, "did", "text"):
             for did, text in zip(ids, texts, strict=True):
@@ -98,22 +101,34 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
     scale = math.log10(total + ADDED * (distinct + 1))
     mass = np.array([ending_mass.get(i, 1.0) for i in range(max(ending_mass, default=0) + 1)])
 
+    def bound(pack: dict, number: np.ndarray, words: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+        place = np.empty(len(number), np.int64)
+        place[number] = np.arange(len(number))
+        words, unit = words[place], unit[place]
+        logs = np.log10(words + ADDED)
+        inside = np.where(unit >= WORD_UNITS, logs - np.log10(mass[np.where(unit >= WORD_UNITS, unit, 0)]), 0.0)
+        tokens, sizes = np.frombuffer(zlib.decompress(pack["tokens"]), np.uint32), np.array(pack["sizes"])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((words > 0).astype(float), logs - scale, inside)]
+        rows = [[pack["dids"]], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by pack and number: the pack's documents at number -1, then its words."""
+        pack, parts = None, []
         for b in batches:
-            for i in range(b.num_rows):
-                words = b.column("words")[i].values
-                number, total_count, unit = (words.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                place = np.empty(len(number), np.int64)
-                place[number] = np.arange(len(number))
-                total_count, unit = total_count[place], unit[place]
-                logs = np.log10(total_count + ADDED)
-                inside = np.where(unit >= WORD_UNITS, logs - np.log10(mass[np.where(unit >= WORD_UNITS, unit, 0)]), 0.0)
-                tokens = np.frombuffer(zlib.decompress(b.column("tokens")[i].as_py()), np.uint32)
-                sizes = b.column("sizes")[i].values.to_numpy()
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((total_count > 0).astype(float), logs - scale, inside)]
-                rows = [[b.column("dids")[i].as_py()], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
+            numbers = b.column("number").to_numpy()
+            heads = np.flatnonzero(numbers < 0).tolist()
+            for start, end in zip([0, *heads], [*heads, len(numbers)], strict=True):
+                if end > start:
+                    own = start + (numbers[start] < 0)
+                    if own > start:
+                        if pack is not None:
+                            yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
+                        pack, parts = {n: b.column(n)[start].as_py() for n in ("dids", "sizes", "tokens")}, []
+                    parts.append(tuple(b.column(n)[own:end].to_numpy(zero_copy_only=False) for n in ("number", "count", "unit")))
+        if pack is not None:
+            yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
@@ -127,7 +142,7 @@ class Corpus:
         plain = docs.select(C.id_col().alias("did"), C.text_col().alias("text"))
         packs = C.staged(plain.mapInArrow(_packs(pack_bytes), _PACK), "packs")
         words = packs.filter("word IS NOT NULL").select("pack", "word", "number", "trained")
-        counts = C.staged(words.groupBy("word").agg(F.sum("trained").alias("count"), F.count("*").alias("packs")), "counts")
+        counts = C.staged(words.groupBy("word").agg(F.sum("trained").alias("count")), "counts")
         n = counts.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
         self.tokens, self.distinct = int(n[0] or 0), int(n[1])
         # At most WORD_UNITS rows, and ENDING_UNITS below.
@@ -137,9 +152,12 @@ class Corpus:
         placed = counts.join(F.broadcast(own), "word", "left").withColumn("unit", F.coalesce("place", ending))
         rest = {r.unit: r.mass for r in placed.filter("place IS NULL").groupBy("unit").agg((F.sum("count") + F.count(F.when(F.col("count") > 0, 1)) * ADDED + ADDED).alias("mass")).collect()}
         ending_mass = {WORD_UNITS + i: float(rest.get(WORD_UNITS + i, ADDED)) for i in range(ENDING_UNITS)}
-        of_pack = words.join(placed.select("word", "count", "unit"), "word").groupBy("pack").agg(F.collect_list(F.struct("number", "count", "unit")).alias("words"))
-        joined = packs.filter("word IS NULL").select("pack", "dids", "sizes", "tokens").join(of_pack, "pack")
-        self.bound = C.staged(joined.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
+        of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", "number", "count", "unit")
+        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).alias("number"), "dids", "sizes", "tokens")
+        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(C.partitions(spark), "pack").sortWithinPartitions("pack", "number")
+        C.small_batches(spark, WORD_BATCH)
+        self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
+        C.small_batches(spark)
         mass = np.full(WORD_UNITS + ENDING_UNITS, 1e-9)
         mass[: len(top)] = [r["count"] + ADDED for r in top]
         mass[WORD_UNITS:] = [ending_mass[WORD_UNITS + i] for i in range(ENDING_UNITS)]
