@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MAX_ROUNDS = 60
+ROWS_PER_TASK = 100_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,9 +33,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of edges (u long, v long) that isn't a root itself."""
     edges = C.staged(edges.filter(F.col("u") != F.col("v")).distinct(), "edges")
+    # A round gives no more edges than it gets, so their number says how many tasks are worth while.
+    tasks = -(-max(1, edges.count()) // ROWS_PER_TASK)
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = C.staged(_star(_star(edges, large=True), large=False), "edges")
+        edges = C.staged(_star(_star(edges, large=True), large=False).coalesce(tasks), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

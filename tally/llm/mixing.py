@@ -65,7 +65,7 @@ def uniform(did, seed: str = SEED):
 def plan(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(did, key, source, size, source_size, target, copies) of every row of docs."""
     rows = C.staged(sizes(docs), "sizes").withColumn("u", uniform(F.col("did"), seed)).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    cells = C.staged(rows.groupBy("source", "cell").agg(F.sum("size").cast("long").alias("words")), "cells")
+    cells = rows.groupBy("source", "cell").agg(F.sum("size").cast("long").alias("words"))
     goal = targets(cells.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")), max_copies, weights)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("sure", F.floor(expected)).withColumn("inclusion", expected - F.col("sure")).withColumn("want", F.col("target") - F.col("sure") * F.col("source_size"))

@@ -237,7 +237,7 @@ def _between_chunks(over: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(did, key, doc_id, fp, component_id) of every row of docs."""
     marked = C.staged(fingerprints(docs), "fingerprints")
-    distinct = C.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), bucket_rows)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
