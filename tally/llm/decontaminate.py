@@ -183,3 +183,15 @@ def apply(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
     for block in blocks_of(items, block_bytes):
         docs = docs.mapInArrow(without(block), docs.schema)
     return docs
+
+
+#: contained() in DuckDB's SQL, for the default threshold.
+ORACLE_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+iw AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+im AS (SELECT q, item_id, w, least(5, len(w)) AS m FROM iw WHERE len(w) > 0),
+ix AS (SELECT q, item_id, m, unnest(list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) AS s FROM im),
+n AS (SELECT q, count(*) AS n FROM ix GROUP BY q),
+dx AS (SELECT r, doc_id, m, unnest(list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))) AS s FROM dw, (SELECT DISTINCT m FROM im) WHERE len(w) >= m)
+SELECT any_value(dx.doc_id) AS doc_id, any_value(ix.item_id) AS item_id, any_value(n.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
+FROM dx JOIN ix ON dx.m = ix.m AND dx.s = ix.s JOIN n ON n.q = ix.q GROUP BY r, ix.q HAVING count(*) >= 0.8 * any_value(n.n)"""

@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.oracle_sql()}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op6_secret_scan": secret_scan.oracle_sql(), "op8_decontamination": decontaminate.ORACLE_SQL, "op9_mixing": mixing.oracle_sql()}

@@ -121,3 +121,20 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame:
     base = _joined(F.filter("spans", lambda s: s["rule"] < len(BASE)), every)
     rows = found.select(F.when(F.col("did") != C.NO_ID, F.col("did")).alias("doc_id"), "copies", *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans"), every).alias("spans"))
     return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+
+
+def oracle_sql(rules: tuple[Rule, ...] = MORE) -> str:
+    """report() in DuckDB's SQL: pieces between the matches and the matches themselves give the offsets."""
+    every = BASE + tuple(rules)
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = "\n  UNION ALL ".join(f"SELECT r, {i} AS rule, {quoted(x.kind)} AS kind, {x.least} AS least, string_split_regex(text, {quoted(x.java())}) AS pieces, regexp_extract_all(text, {quoted(x.java())}) AS matches, regexp_extract_all(text, {quoted(x.java())}, {x.group}) AS groups FROM d" for i, x in enumerate(every))
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rule) FILTER (WHERE {where}), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = {i})::BIGINT AS n_{x.kind}" for i, x in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+u AS (SELECT r, rule, kind, least, unnest(range(len(matches))) AS i, unnest(pieces[1:len(matches)]) AS piece, unnest(matches) AS match, unnest(groups) AS part FROM f WHERE len(matches) > 0),
+p AS (SELECT r, rule, kind, length(match) AS n, length(part) >= least AS counts,
+  (sum(length(piece) + length(match)) OVER (PARTITION BY r, rule ORDER BY i))::BIGINT - length(match) AS start FROM u),
+s AS (SELECT r, {counts}, {joined(f"rule < {len(BASE)}")} AS base, {joined("true")} AS spans FROM p WHERE counts GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""
