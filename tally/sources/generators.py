@@ -79,6 +79,14 @@ def with_poison(messages: DataFrame, every: int, pos: str, value: str = "value")
     return messages.withColumn(value, F.when(F.pmod(F.col(pos), F.lit(every)) == 0, bad).otherwise(F.col(value)))
 
 
+def published(events: DataFrame, crash_every: int, outbox: bool, pos: str = "pos") -> DataFrame:
+    """What reaches a topic when the writer crashes at every n-th event between its commit and its publish: a dual write loses the event, an outbox publishes it later, twice if the crash came before the mark."""
+    crashed = F.pmod(F.col(pos), F.lit(crash_every)) == 0
+    if not outbox:
+        return events.filter(~crashed)
+    return events.unionByName(events.filter(crashed & (F.pmod(F.col(pos), F.lit(2 * crash_every)) == 0)))
+
+
 def with_duplicates(events: DataFrame, share: float, key: str) -> DataFrame:
     """Deliveries: all events, and a hashed share of them twice."""
     again = events.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -431,6 +431,20 @@ def test_plan_of_transfers(spark):
         assert r.src == r.round % 4 + 1 and r.src != r.dst and r.cents == (40000 if r.round % 4 == 0 else 500) + 100 * r.worker
 
 
+def test_dual_write_and_outbox(spark):
+    events_ = spark.range(1, 101).select(F.col("id").alias("pos"), F.col("id").alias("event"), F.lit(1).alias("account"), F.lit(10).alias("amount"))
+    dual, outbox = (generators.published(events_, 10, o) for o in (False, True))
+    assert dual.count() == 90 and outbox.count() == 105
+    assert rows(reconcile.exactly_once(events_, dual, "pos"))[0][1:] == (1, 0)
+    assert rows(events.applied_once(outbox, "event", "pos", "account", "amount")) == [(1, 1000)]
+
+
+def test_reports_joined(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "strategy string, stale long")
+    b = spark.createDataFrame([("x", 9)], "strategy string, reads long")
+    assert rows(metrics.combined(a, b, "strategy")) == [("x", 1, 9), ("y", 2, None)]
+
+
 def test_generated_mixes(spark):
     mix = generators.write_mix(spark, 20_000, {"insert": 0.6, "update": 0.35, "delete": 0.05}, 100)
     share = {r.op: r.n / 20_000 for r in mix.groupBy("op").agg(F.count("*").alias("n")).collect()}
