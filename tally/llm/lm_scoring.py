@@ -49,12 +49,23 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and doc_id != C.NO_ID and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-_PACK = "pack long, word binary, number int, trained long, dids array<long>, sizes array<int>, tokens binary"
-_PACK_PA = pa.schema([("pack", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("trained", pa.int64()), ("dids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
+_PACK = "pack long, word binary, number int, trained long, documents binary"
+_PACK_PA = pa.schema([("pack", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("trained", pa.int64()), ("documents", pa.binary())])
+
+
+def _packed(dids: list[int], sizes: list[int], tokens: bytes) -> bytes:
+    """A pack's documents as bytes: how many, their ids, token counts and token numbers."""
+    return zlib.compress(b"".join((np.int64(len(dids)).tobytes(), np.array(dids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), tokens)), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int32, n, 8 + 8 * n), np.frombuffer(data, np.uint32, -1, 8 + 12 * n)
 
 
 def _packs(pack_bytes: int):
-    """One row with the documents of each pack, and one for each of its words (with dids null)."""
+    """One row with the documents of each pack, and one for each of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -65,8 +76,8 @@ def _packs(pack_bytes: int):
             ids = np.frombuffer(tokens, np.uint32)
             learnt = np.repeat([not held_out(d) for d in dids], sizes)
             trained = np.bincount(ids[learnt], minlength=len(numbers))
-            blob = zlib.compress(ids.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack], [None], [None], [None], [dids], [sizes], [blob]), _PACK_PA, strict=True)], schema=_PACK_PA)
+            head = _packed(dids, sizes, ids.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack], [None], [None], [None], [head]), _PACK_PA, strict=True)], schema=_PACK_PA)
             words = list(numbers)
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
@@ -101,16 +112,16 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
     scale = math.log10(total + ADDED * (distinct + 1))
     mass = np.array([ending_mass.get(i, 1.0) for i in range(max(ending_mass, default=0) + 1)])
 
-    def bound(pack: dict, number: np.ndarray, words: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+    def bound(head: bytes, number: np.ndarray, words: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
         place = np.empty(len(number), np.int64)
         place[number] = np.arange(len(number))
         words, unit = words[place], unit[place]
         logs = np.log10(words + ADDED)
         inside = np.where(unit >= WORD_UNITS, logs - np.log10(mass[np.where(unit >= WORD_UNITS, unit, 0)]), 0.0)
-        tokens, sizes = np.frombuffer(zlib.decompress(pack["tokens"]), np.uint32), np.array(pack["sizes"])
+        dids, sizes, tokens = _unpacked(head)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((words > 0).astype(float), logs - scale, inside)]
-        rows = [[pack["dids"]], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
+        rows = [[dids], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +136,7 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
                     if own > start:
                         if pack is not None:
                             yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
-                        pack, parts = {n: b.column(n)[start].as_py() for n in ("dids", "sizes", "tokens")}, []
+                        pack, parts = b.column("documents")[start].as_py(), []
                     parts.append(tuple(b.column(n)[own:end].to_numpy(zero_copy_only=False) for n in ("number", "count", "unit")))
         if pack is not None:
             yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
@@ -153,7 +164,7 @@ class Corpus:
         rest = {r.unit: r.mass for r in placed.filter("place IS NULL").groupBy("unit").agg((F.sum("count") + F.count(F.when(F.col("count") > 0, 1)) * ADDED + ADDED).alias("mass")).collect()}
         ending_mass = {WORD_UNITS + i: float(rest.get(WORD_UNITS + i, ADDED)) for i in range(ENDING_UNITS)}
         of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", "number", "count", "unit")
-        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).alias("number"), "dids", "sizes", "tokens")
+        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).alias("number"), "documents")
         both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(C.partitions(spark), "pack").sortWithinPartitions("pack", "number")
         C.small_batches(spark, WORD_BATCH)
         self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
