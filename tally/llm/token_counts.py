@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -91,7 +92,28 @@ class Counter:
         self.cache: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
-        """(pieces, score) of the best segmentation of a word."""
+        """(pieces, score) of the best segmentation of a word.
+
+        Matches come by where they end, longest first, so whatever a match stands on is final.
+        """
+        n = len(word)
+        best, count, singles = [0.0] + [-math.inf] * n, [0] * (n + 1), 0
+        for end, (size, score, unknown) in self.automaton.iter(word):
+            start = end + 1 - size
+            value = score + best[start]
+            if value > best[end + 1]:
+                best[end + 1], count[end + 1] = value, count[start] + 1
+            if size == 1:
+                singles += 1
+            if unknown:
+                break
+        else:
+            if singles == n:
+                return count[n], best[n]
+        return self._with_unknown(word)
+
+    def _with_unknown(self, word: str) -> tuple[int, float]:
+        """word() where a character may have no piece of its own."""
         n = len(word)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         length = [0] * (n + 1)  # of the last piece; negative if it is unknown
@@ -104,7 +126,7 @@ class Counter:
         odd = False
         for end in range(n):
             top = None
-            for size, score, unknown in sorted(by_end[end], reverse=True) if len(by_end[end]) > 1 else by_end[end]:
+            for size, score, unknown in by_end[end]:
                 value = score + best[end + 1 - size]
                 if top is None or value > top:
                     top, count[end + 1], length[end + 1] = value, count[end + 1 - size] + 1, -size if unknown else size
