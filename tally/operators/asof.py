@@ -57,5 +57,5 @@ def summary(audited: DataFrame) -> DataFrame:
 def buckets(audited: DataFrame, width_ms: int) -> DataFrame:
     """(strategy, bucket, reads, stale, max_ms): buckets of equal width from each strategy's first read."""
     starts = audited.groupBy("strategy").agg(F.min("ts").alias("t0"))
-    placed = audited.join(F.broadcast(starts), "strategy").withColumn("bucket", F.floor((F.col("ts") - F.col("t0")) / width_ms))
+    placed = audited.join(starts, "strategy").withColumn("bucket", F.floor((F.col("ts") - F.col("t0")) / width_ms))
     return placed.groupBy("strategy", "bucket").agg(F.count("*").alias("reads"), F.sum(F.col("stale").cast("int")).cast("long").alias("stale"), F.coalesce(F.max("staleness_ms"), F.lit(0)).alias("max_ms"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..sources.journals import append_jsonl, scratch
+from ..streaming.ledger import IdempotentLedger, Projection
 from ..operators import sequences
 from . import fixtures as X
 from .fixtures import Tables
@@ -160,3 +162,28 @@ def repair_queue(t: Tables) -> DataFrame:
     q = X.events(t).filter("kind = 'error'").withColumn("target", F.col("key") % 3)
     applied = sequences.last_of(q.filter("target <> 2").select("key", "k", "pos"), ["key"], "pos").select("key", "k", F.lit("applied").alias("side"))
     return applied.unionByName(q.filter("target = 2").select("key", "k", F.lit("kept").alias("side")))
+
+
+# --- the same as streams: files in, micro-batches, one version of the state a batch ---
+
+
+@query(f"WITH {X.EVENTS} SELECT key AS account_id, sum(k)::BIGINT AS total FROM e WHERE NOT {X.POISON} GROUP BY 1")
+def stream_ledger(t: Tables) -> DataFrame:
+    """Balances from a stream of messages, some of them delivered twice, with the poison in quarantine."""
+    folder = scratch(t.spark, "ledger")
+    m = X.messages(t)
+    m.unionByName(m.filter("pos % 9 = 0")).select("value").repartition(4).write.text(f"{folder}/in")
+    ledger = IdempotentLedger(t.spark, f"{folder}/state", f"{folder}/dead")
+    ledger.run(f"{folder}/in", f"{folder}/checkpoint", 2)
+    return ledger.balances()
+
+
+@query(f"WITH {_STATE} SELECT key, k FROM la WHERE action = 'upsert'")
+def stream_cdc(t: Tables) -> DataFrame:
+    """The last state from a stream of envelopes that come in no order of their own, some of them twice."""
+    folder = scratch(t.spark, "cdc")
+    c = X.changes(t).select("op", "key", "pos", "k")
+    append_jsonl(c.unionByName(c.filter("pos % 7 = 0")).repartition(4), f"{folder}/in")
+    projection = Projection(t.spark, f"{folder}/state", ["k"])
+    projection.run(f"{folder}/in", c.schema, f"{folder}/checkpoint", 2)
+    return projection.state()
