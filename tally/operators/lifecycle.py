@@ -16,10 +16,10 @@ def shared_columns(source: DataFrame, target: DataFrame) -> list[str]:
 
 
 def schema_drift(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(column, only): columns that one of the two has, or that have different types."""
+    """(column_name, only_in): columns that one of the two has, or that have different types."""
     left, right = dict(a.dtypes), dict(b.dtypes)
     rows = [(c, "a" if c not in right else "b" if c not in left else "type") for c in sorted({*left, *right}) if left.get(c) != right.get(c)]
-    return a.sparkSession.createDataFrame(rows, "column string, only string")
+    return a.sparkSession.createDataFrame(rows, "column_name string, only_in string")
 
 
 def aligned_union(a: DataFrame, b: DataFrame) -> DataFrame:

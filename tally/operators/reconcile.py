@@ -55,9 +55,9 @@ def exactly_once(journal: DataFrame, applied: DataFrame, key: str) -> DataFrame:
 
 
 def unaccounted(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(key, only): ids that are in one of the two sets."""
+    """(key, only_in): ids that are in one of the two sets."""
     e, f = (d.select(key).distinct().withColumn(n, F.lit(1)) for d, n in ((expected, "e"), (found, "f")))
-    return e.join(f, key, "full_outer").filter("e IS NULL OR f IS NULL").select(key, F.when(F.col("f").isNull(), "expected").otherwise("found").alias("only"))
+    return e.join(f, key, "full_outer").filter("e IS NULL OR f IS NULL").select(key, F.when(F.col("f").isNull(), "expected").otherwise("found").alias("only_in"))
 
 
 def acked_audit(acked: DataFrame, stored: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -119,7 +119,7 @@ def exactly_once(t: Tables) -> DataFrame:
     return reconcile.exactly_once(ids.filter("id % 59 <> 0"), ids.filter("id % 61 <> 0").unionByName(ids.filter("id % 67 = 0")), "id")
 
 
-@query(f"WITH {_BOTH}, mi AS (SELECT id FROM o ANTI JOIN tg USING (id)), sk AS (SELECT id FROM o WHERE id % 97 = 0 AND id % 2 = 0 UNION SELECT id FROM o WHERE id % 101 = 0) SELECT coalesce(mi.id, sk.id) AS id, CASE WHEN sk.id IS NULL THEN 'expected' ELSE 'found' END AS only FROM mi FULL JOIN sk ON mi.id = sk.id WHERE mi.id IS NULL OR sk.id IS NULL")
+@query(f"WITH {_BOTH}, mi AS (SELECT id FROM o ANTI JOIN tg USING (id)), sk AS (SELECT id FROM o WHERE id % 97 = 0 AND id % 2 = 0 UNION SELECT id FROM o WHERE id % 101 = 0) SELECT coalesce(mi.id, sk.id) AS id, CASE WHEN sk.id IS NULL THEN 'expected' ELSE 'found' END AS only_in FROM mi FULL JOIN sk ON mi.id = sk.id WHERE mi.id IS NULL OR sk.id IS NULL")
 def accounted_divergence(t: Tables) -> DataFrame:
     source = X.orders(t)
     missing = source.join(X.target(t), "id", "left_anti").select("id")

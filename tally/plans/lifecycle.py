@@ -100,7 +100,7 @@ def tombstone_email(t: Tables) -> DataFrame:
     return X.accounts(t).select("customer", lifecycle.tombstoned(F.col("name"), F.col("customer"), F.col("deleted_at").isNotNull()).alias("name"))
 
 
-@query("SELECT 'c_acctbal' AS column, 'type' AS only UNION ALL SELECT 'c_phone', 'b' UNION ALL SELECT 'c_mktsegment', 'a'")
+@query("SELECT 'c_acctbal' AS column_name, 'type' AS only_in UNION ALL SELECT 'c_phone', 'b' UNION ALL SELECT 'c_mktsegment', 'a'")
 def schema_drift(t: Tables) -> DataFrame:
     a = t.customer
     b = a.drop("c_mktsegment").withColumn("c_phone", F.lit(None).cast("string")).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))
