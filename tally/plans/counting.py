@@ -17,7 +17,8 @@ WIDTHS = (512, 128, 64, 32)
 _PAIRS = sketches.hash_params()
 _HASH = lambda i: f"(({_PAIRS[i][0]}::HUGEINT * key::HUGEINT + {_PAIRS[i][1]}::HUGEINT) % {sketches.PRIME}::HUGEINT)"
 _HASHED = ", ".join(["t AS (SELECT key, count(*) AS cnt FROM e GROUP BY key)", "hs AS (" + " UNION ALL ".join(f"SELECT key, cnt, {i}::INT AS row, {_HASH(i)}::BIGINT AS h FROM t" for i in range(4)) + ")"])
-_CELLS = f"{X.EVENTS}, {_HASHED}, cl AS (SELECT row, h % {WIDTH} AS cell, sum(cnt)::BIGINT AS cnt FROM hs GROUP BY 1, 2), es AS (SELECT hs.key, min(cl.cnt) AS est FROM hs JOIN cl ON cl.row = hs.row AND cl.cell = hs.h % {WIDTH} GROUP BY 1)"
+_CELLS = f"""{X.EVENTS}, {_HASHED}, cl AS (SELECT row, h % {WIDTH} AS cell, sum(cnt)::BIGINT AS cnt FROM hs GROUP BY 1, 2),
+es AS (SELECT hs.key, min(cl.cnt) AS est FROM hs JOIN cl ON cl.row = hs.row AND cl.cell = hs.h % {WIDTH} GROUP BY 1)"""
 
 
 @query(f"WITH {X.EVENTS} SELECT key, count(*) AS cnt FROM e GROUP BY key ORDER BY cnt DESC, key LIMIT {K}")
@@ -25,7 +26,8 @@ def topk_exact(t: Tables) -> DataFrame:
     return topk.top(topk.counts(X.events(t)), K)
 
 
-@query(f"WITH {X.MINUTES}, r AS (SELECT minute, key, count(*) AS cnt FROM m GROUP BY 1, 2) SELECT key, sum(cnt)::BIGINT AS cnt FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+@query(f"""WITH {X.MINUTES}, r AS (SELECT minute, key, count(*) AS cnt FROM m GROUP BY 1, 2)
+SELECT key, sum(cnt)::BIGINT AS cnt FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def topk_rollup(t: Tables) -> DataFrame:
     return topk.top(topk.rollup_merged(topk.rollup(X.minutes(t), "minute"), by=("key",)), 20)
 
@@ -52,7 +54,7 @@ def topk_approx(t: Tables) -> DataFrame:
     return topk.approximate(X.events(t), 50)
 
 
-_TRAP = "tr AS (SELECT minute, unnest([{'key': 1::BIGINT, 'cnt': 40}, {'key': 2, 'cnt': 40}, {'key': 3, 'cnt': 20}] || list_transform(range(15), lambda j: {'key': 1000 + 100 * minute + j, 'cnt': 30}), recursive := true) FROM range(60) AS g(minute))"
+_TRAP = """tr AS (SELECT minute, unnest([{'key': 1::BIGINT, 'cnt': 40}, {'key': 2, 'cnt': 40}, {'key': 3, 'cnt': 20}] || list_transform(range(15), lambda j: {'key': 1000 + 100 * minute + j, 'cnt': 30}), recursive := true) FROM range(60) AS g(minute))"""
 
 
 def _trap_sql(n: int, rescored: bool) -> str:
@@ -94,7 +96,12 @@ def cms_merge(t: Tables) -> DataFrame:
     return sketches.merged(*halves)
 
 
-@query("SELECT 0::BIGINT AS differing")
+_BY_MINUTE = " UNION ALL ".join(f"SELECT minute, cnt, {i}::INT AS row, ({_HASH(i)} % {WIDTH})::BIGINT AS cell FROM tm" for i in range(4))
+
+
+@query(f"""WITH {_CELLS}, m AS (SELECT key, least(pos * 60 // (SELECT count(*) FROM e), 59) AS minute FROM e), tm AS (SELECT minute, key, count(*) AS cnt FROM m GROUP BY 1, 2),
+hm AS ({_BY_MINUTE}), cm AS (SELECT minute, row, cell, sum(cnt)::BIGINT AS cnt FROM hm GROUP BY ALL), sm AS (SELECT row, cell, sum(cnt)::BIGINT AS cnt FROM cm GROUP BY 1, 2)
+SELECT count(*) AS differing FROM ((SELECT row, cell, cnt FROM sm EXCEPT SELECT row, cell, cnt FROM cl) UNION ALL (SELECT row, cell, cnt FROM cl EXCEPT SELECT row, cell, cnt FROM sm))""")
 def cms_linearity(t: Tables) -> DataFrame:
     """Cells in which 60 merged minute sketches differ from the sketch of the whole stream."""
     m = X.minutes(t)
@@ -103,7 +110,11 @@ def cms_linearity(t: Tables) -> DataFrame:
     return summed.exceptAll(whole).unionByName(whole.exceptAll(summed)).agg(F.count("*").alias("differing"))
 
 
-@query(f"WITH {X.EVENTS}, {_HASHED}, w AS (SELECT unnest([{', '.join(map(str, WIDTHS))}])::INT AS width), x AS (SELECT width, key, cnt, row, h % width AS cell FROM hs, w), c AS (SELECT width, row, cell, sum(cnt)::BIGINT AS total FROM x GROUP BY ALL) SELECT x.width, x.key, max(x.cnt) AS cnt, min(c.total) AS est FROM x JOIN c USING (width, row, cell) GROUP BY 1, 2")
+@query(f"""WITH {X.EVENTS}, {_HASHED}, w AS (SELECT unnest([{', '.join(map(str, WIDTHS))}])::INT AS width),
+x AS (SELECT width, key, cnt, row, h % width AS cell FROM hs, w),
+c AS (SELECT width, row, cell, sum(cnt)::BIGINT AS total FROM x GROUP BY ALL)
+SELECT x.width, x.key, max(x.cnt) AS cnt, min(c.total) AS est
+FROM x JOIN c USING (width, row, cell) GROUP BY 1, 2""")
 def cms_sweep(t: Tables) -> DataFrame:
     return sketches.sweep(X.events(t), WIDTHS)
 
@@ -135,15 +146,18 @@ def _tops(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return cms_topk(t).select("key", F.col("est").alias("cnt")), topk.top(truth, K), truth
 
 
-_TOPS = f"{_CELLS}, ap AS (SELECT key, est AS cnt, row_number() OVER (ORDER BY est DESC, key) AS ra FROM es QUALIFY ra <= {K}), ex AS (SELECT key, cnt, row_number() OVER (ORDER BY cnt DESC, key) AS re FROM t QUALIFY re <= {K})"
+_TOPS = f"""{_CELLS}, ap AS (SELECT key, est AS cnt, row_number() OVER (ORDER BY est DESC, key) AS ra FROM es QUALIFY ra <= {K}),
+ex AS (SELECT key, cnt, row_number() OVER (ORDER BY cnt DESC, key) AS re FROM t QUALIFY re <= {K})"""
 
 
-@query(f"WITH {_TOPS} SELECT (SELECT count(*) FROM ap JOIN ex USING (key)) / {K}.0::DOUBLE AS recall, avg(abs(ap.cnt - t.cnt)) AS mean_err, max(abs(ap.cnt - t.cnt)) AS max_err FROM ap JOIN t USING (key)")
+@query(f"""WITH {_TOPS} SELECT (SELECT count(*) FROM ap JOIN ex USING (key)) / {K}.0::DOUBLE AS recall, avg(abs(ap.cnt - t.cnt)) AS mean_err, max(abs(ap.cnt - t.cnt)) AS max_err
+FROM ap JOIN t USING (key)""")
 def sketch_metrics(t: Tables) -> DataFrame:
     return metrics.against_truth(*_tops(t), K)
 
 
-@query(f"WITH {_TOPS}, g AS (SELECT i, (SELECT count(*) FROM ap JOIN ex USING (key) WHERE ra <= i AND re <= i) / i::DOUBLE AS share FROM range(1, (SELECT count(*) FROM ex) + 1) AS x(i)) SELECT round(sum(share) / count(*), 9) AS overlap FROM g")
+@query(f"""WITH {_TOPS}, g AS (SELECT i, (SELECT count(*) FROM ap JOIN ex USING (key) WHERE ra <= i AND re <= i) / i::DOUBLE AS share FROM range(1, (SELECT count(*) FROM ex) + 1) AS x(i))
+SELECT round(sum(share) / count(*), 9) AS overlap FROM g""")
 def rank_overlap(t: Tables) -> DataFrame:
     approx, exact, _ = _tops(t)
     return metrics.rank_overlap(approx, exact).select(F.round("overlap", 9).alias("overlap"))
@@ -168,7 +182,8 @@ def revenue_unfiltered(t: Tables) -> DataFrame:
     return _revenue(t.lineitem)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem")
+@query("""SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_n, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates
+FROM lineitem""")
 def dup_count(t: Tables) -> DataFrame:
     per_key = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"))
     return per_key.agg(F.sum("c").cast("long").alias("n"), F.count("*").alias("distinct_n"), (F.sum("c") - F.count("*")).cast("long").alias("duplicates"))
@@ -198,7 +213,8 @@ def pct_index(t: Tables) -> DataFrame:
     return metrics.indexed(X.orders(t), ["priority"], "cents", [50.0, 95.0, 99.0])
 
 
-@query(f"WITH {X.ORDERS} SELECT priority, unnest([0.5, 0.95, 0.99])::DOUBLE AS p, round(unnest([quantile_cont(cents, 0.5), quantile_cont(cents, 0.95), quantile_cont(cents, 0.99)])::DOUBLE, 4) AS value FROM o GROUP BY priority")
+@query(f"""WITH {X.ORDERS} SELECT priority, unnest([0.5, 0.95, 0.99])::DOUBLE AS p, round(unnest([quantile_cont(cents, 0.5), quantile_cont(cents, 0.95), quantile_cont(cents, 0.99)])::DOUBLE, 4) AS value
+FROM o GROUP BY priority""")
 def pct_inclusive(t: Tables) -> DataFrame:
     return metrics.inclusive(X.orders(t), ["priority"], "cents", [0.5, 0.95, 0.99]).select("priority", F.col("p").cast("double").alias("p"), F.round("value", 4).alias("value"))
 

@@ -25,7 +25,7 @@ def orders(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), cents(F.col("o_totalprice")).alias("cents"), F.col("o_orderpriority").alias("priority"))
 
 
-ORDERS = "o AS (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, round(o_totalprice * 100)::BIGINT AS cents, o_orderpriority AS priority FROM orders)"
+ORDERS = """o AS (SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status, round(o_totalprice * 100)::BIGINT AS cents, o_orderpriority AS priority FROM orders)"""
 
 
 def target(t: Tables) -> DataFrame:
@@ -44,7 +44,7 @@ def events(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("key"), epoch_ms("ts").alias("ms"), F.col("event_type").alias("kind"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-EVENTS = "e AS (SELECT event_id AS pos, user_id AS key, epoch_us(ts) // 1000 AS ms, event_type AS kind, value, json_extract_string(props, '$.k')::INT AS k FROM events)"
+EVENTS = """e AS (SELECT event_id AS pos, user_id AS key, epoch_us(ts) // 1000 AS ms, event_type AS kind, value, json_extract_string(props, '$.k')::INT AS k FROM events)"""
 
 
 def minutes(t: Tables, minutes: int = 60) -> DataFrame:
@@ -158,7 +158,7 @@ def accounts(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 == 0, F.lit(T0) + F.col("c_custkey") * 1000).alias("deleted_at"))
 
 
-ACCOUNTS = f"c AS (SELECT c_custkey AS customer, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN {T0} + c_custkey * 1000 END AS deleted_at FROM customer)"
+ACCOUNTS = f"""c AS (SELECT c_custkey AS customer, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN {T0} + c_custkey * 1000 END AS deleted_at FROM customer)"""
 
 
 def names(t: Tables) -> DataFrame:

@@ -11,7 +11,8 @@ from . import fixtures as X
 from .fixtures import T0, Tables
 from .registry import query
 
-_OLD_NEW = f"{X.ORDERS}, ol AS (SELECT id, status, cents FROM o WHERE id % 3 <> 0), nw AS (SELECT id, 'N' AS status, cents + 1 AS cents FROM o WHERE id % 5 = 0)"
+_OLD_NEW = f"""{X.ORDERS}, ol AS (SELECT id, status, cents FROM o WHERE id % 3 <> 0),
+nw AS (SELECT id, 'N' AS status, cents + 1 AS cents FROM o WHERE id % 5 = 0)"""
 
 
 def _old_new(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,8 @@ def _children(t: Tables) -> DataFrame:
     return X.orders(t).select("id", "customer", F.when(F.col("id") % 11 == 0, F.lit(1).cast("long")).alias("deleted_at"))
 
 
-@query(f"WITH {_CHILDREN} SELECT id, customer, coalesce(deleted_at, CASE WHEN customer % 13 = 0 AND customer IN (SELECT customer FROM c) THEN {T0} END, -1)::BIGINT AS deleted_at FROM ch")
+@query(f"""WITH {_CHILDREN} SELECT id, customer, coalesce(deleted_at, CASE WHEN customer % 13 = 0 AND customer IN (SELECT customer FROM c) THEN {T0} END, -1)::BIGINT AS deleted_at
+FROM ch""")
 def cascade_flag(t: Tables) -> DataFrame:
     _, down = lifecycle.cascade_flagged(X.accounts(t), _children(t), "customer", F.col("customer") % 13 == 0, T0)
     return down.select("id", "customer", F.coalesce("deleted_at", F.lit(-1)).alias("deleted_at"))
@@ -66,14 +68,19 @@ def parent_guard(t: Tables) -> DataFrame:
     return lifecycle.parents_without(X.accounts(t), X.orders(t).filter("id % 5 = 0"), "customer").select("customer")
 
 
-@query(f"WITH {_CHILDREN} SELECT 'live' AS side, id, customer, -1::BIGINT AS _moved_at, '' AS _reason FROM o WHERE customer % 13 <> 0 OR customer NOT IN (SELECT customer FROM c) UNION ALL SELECT 'mirror', id, customer, {T0}, 'request' FROM o WHERE customer % 13 = 0 AND customer IN (SELECT customer FROM c)")
+@query(f"""WITH {_CHILDREN} SELECT 'live' AS side, id, customer, -1::BIGINT AS _moved_at, '' AS _reason
+FROM o WHERE customer % 13 <> 0 OR customer NOT IN (SELECT customer FROM c)
+UNION ALL SELECT 'mirror', id, customer, {T0}, 'request' FROM o
+WHERE customer % 13 = 0 AND customer IN (SELECT customer FROM c)""")
 def mirror_move(t: Tables) -> DataFrame:
     keys = X.accounts(t).filter("customer % 13 = 0").select("customer")
     stay, gone = lifecycle.moved(X.orders(t).select("id", "customer"), keys, "customer", T0, "request")
     return lifecycle.aligned_union(stay.withColumn("side", F.lit("live")), gone.withColumn("side", F.lit("mirror"))).na.fill(-1, ["_moved_at"]).na.fill("", ["_reason"])
 
 
-@query("SELECT 0::BIGINT AS changed")
+@query(f"""WITH {_CHILDREN}, ks AS (SELECT customer FROM c WHERE customer % 13 = 0), stay AS (SELECT * FROM o ANTI JOIN ks USING (customer)), gone AS (SELECT *, {T0} AS _moved_at FROM o SEMI JOIN ks USING (customer)),
+back AS (SELECT * FROM stay UNION ALL SELECT id, customer, status, cents, priority FROM gone)
+SELECT count(*) AS changed FROM ((SELECT * FROM back EXCEPT ALL SELECT * FROM o) UNION ALL (SELECT * FROM o EXCEPT ALL SELECT * FROM back))""")
 def mirror_roundtrip(t: Tables) -> DataFrame:
     """Rows that differ after a move to the mirror and back."""
     o = X.orders(t)
@@ -83,7 +90,9 @@ def mirror_roundtrip(t: Tables) -> DataFrame:
     return back.exceptAll(o).unionByName(o.exceptAll(back)).agg(F.count("*").alias("changed"))
 
 
-@query(f"WITH {X.ACCOUNTS}, cut AS (SELECT customer FROM c WHERE deleted_at IS NOT NULL ORDER BY customer LIMIT 50) SELECT customer, customer IN (SELECT customer FROM cut) AS archived FROM c")
+@query(f"""WITH {X.ACCOUNTS}, cut AS (SELECT customer FROM c WHERE deleted_at IS NOT NULL ORDER BY customer LIMIT 50)
+SELECT customer, customer IN (SELECT customer FROM cut) AS archived
+FROM c""")
 def archive_split(t: Tables) -> DataFrame:
     left, gone = lifecycle.archived(X.accounts(t), F.col("deleted_at").isNotNull(), T0, 50, "customer")
     return left.select("customer", F.lit(False).alias("archived")).unionByName(gone.select("customer", F.lit(True).alias("archived")))
@@ -129,7 +138,8 @@ def name_split(t: Tables) -> DataFrame:
     return X.names(t).select("id", S.name_first(F.col("name")).alias("first_name"), S.name_last(F.col("name")).alias("last_name"))
 
 
-@query(f"WITH {X.NAMES} SELECT id, CASE WHEN first_name IS NULL AND last_name IS NULL THEN NULL ELSE concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) END AS name FROM nm")
+@query(f"""WITH {X.NAMES} SELECT id, CASE WHEN first_name IS NULL AND last_name IS NULL THEN NULL ELSE concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')) END AS name
+FROM nm""")
 def name_compose(t: Tables) -> DataFrame:
     return X.names(t).select("id", S.name_composed(F.col("first_name"), F.col("last_name")).alias("name"))
 
@@ -142,12 +152,15 @@ def shape_disagree(t: Tables) -> DataFrame:
     return X.names(t).filter(lifecycle.needs_fix()).select("id")
 
 
-@query(f"WITH {X.NAMES} SELECT id, CASE WHEN {_FIX} THEN f ELSE first_name END AS first_name, CASE WHEN {_FIX} THEN l ELSE last_name END AS last_name FROM sp")
+@query(f"""WITH {X.NAMES} SELECT id, CASE WHEN {_FIX} THEN f ELSE first_name END AS first_name, CASE WHEN {_FIX} THEN l ELSE last_name END AS last_name
+FROM sp""")
 def name_backfill(t: Tables) -> DataFrame:
     return lifecycle.converged(X.names(t)).select("id", "first_name", "last_name")
 
 
-@query(f"WITH {X.NAMES} SELECT 'agree' AS gate, 0::BIGINT AS violations, true AS ok UNION ALL SELECT 'before', count(*), count(*) = 0 FROM sp WHERE {_FIX} UNION ALL SELECT 'composable', 0, true")
+@query(f"""WITH {X.NAMES} SELECT 'agree' AS gate, 0::BIGINT AS violations, true AS ok
+UNION ALL SELECT 'before', count(*), count(*) = 0 FROM sp WHERE {_FIX}
+UNION ALL SELECT 'composable', 0, true""")
 def contract_gate(t: Tables) -> DataFrame:
     """Whether the old column may go: nothing to fix after the backfill, and the name comes back from its parts."""
     done = lifecycle.converged(X.names(t))
@@ -163,12 +176,14 @@ def ttl_overdue(t: Tables) -> DataFrame:
     return r.filter((F.col("state") == "active") & (F.col("expires_at") < T0 + 400_000)).select("reservation_id", "state")
 
 
-@query(f"WITH {X.ITEMS}, f AS (SELECT item_id, count(*) AS n FROM r WHERE state = 'active' AND expires_at < {T0 + 400_000} GROUP BY 1) SELECT item_id, reserved - coalesce(n, 0) AS reserved, sold FROM i LEFT JOIN f USING (item_id)")
+@query(f"""WITH {X.ITEMS}, f AS (SELECT item_id, count(*) AS n FROM r WHERE state = 'active' AND expires_at < {T0 + 400_000} GROUP BY 1)
+SELECT item_id, reserved - coalesce(n, 0) AS reserved, sold FROM i
+LEFT JOIN f USING (item_id)""")
 def ttl_sweep(t: Tables) -> DataFrame:
     return lifecycle.ttl_swept(*X.items(t), T0 + 400_000)[0].select("item_id", "reserved", "sold")
 
 
-_RESERVE = f"{X.ITEMS}, p AS (SELECT reservation_id, item_id, row_number() OVER (PARTITION BY item_id ORDER BY expires_at, reservation_id) AS n FROM r)"
+_RESERVE = f"""{X.ITEMS}, p AS (SELECT reservation_id, item_id, row_number() OVER (PARTITION BY item_id ORDER BY expires_at, reservation_id) AS n FROM r)"""
 
 
 @query(f"WITH {_RESERVE} SELECT reservation_id, item_id, coalesce(n <= capacity, false) AS accepted FROM p LEFT JOIN i USING (item_id)")
@@ -177,7 +192,9 @@ def reserve_capacity(t: Tables) -> DataFrame:
     return folds.reserved(r, items, "item_id", ["expires_at", "reservation_id"]).select("reservation_id", "item_id", "accepted")
 
 
-@query(f"WITH {_RESERVE} SELECT reservation_id, item_id, again, NOT again AND coalesce(n <= capacity, false) AS accepted FROM p LEFT JOIN i USING (item_id), (SELECT unnest([false, true]) AS again) x WHERE NOT again OR reservation_id % 4 = 0")
+@query(f"""WITH {_RESERVE} SELECT reservation_id, item_id, again, NOT again AND coalesce(n <= capacity, false) AS accepted
+FROM p LEFT JOIN i USING (item_id), (SELECT unnest([false, true]) AS again) x
+WHERE NOT again OR reservation_id % 4 = 0""")
 def reserve_legacy(t: Tables) -> DataFrame:
     """Requests of which some come twice: a seen id is not reserved again."""
     items, r = X.items(t)
@@ -185,13 +202,17 @@ def reserve_legacy(t: Tables) -> DataFrame:
     return folds.reserved(twice, items, "item_id", ["expires_at", "reservation_id", "again"]).select("reservation_id", "item_id", "again", "accepted")
 
 
-@query(f"WITH {X.ITEMS}, h AS (SELECT item_id, count(*) AS n FROM r WHERE state = 'active' AND reservation_id % 3 = 0 GROUP BY 1) SELECT item_id, reserved - coalesce(n, 0) AS reserved, sold + coalesce(n, 0) AS sold FROM i LEFT JOIN h USING (item_id)")
+@query(f"""WITH {X.ITEMS}, h AS (SELECT item_id, count(*) AS n FROM r WHERE state = 'active' AND reservation_id % 3 = 0 GROUP BY 1)
+SELECT item_id, reserved - coalesce(n, 0) AS reserved, sold + coalesce(n, 0) AS sold
+FROM i LEFT JOIN h USING (item_id)""")
 def reserve_commit(t: Tables) -> DataFrame:
     items, r = X.items(t)
     return folds.committed(items, r, r.filter("reservation_id % 3 = 0"))[0].select("item_id", "reserved", "sold")
 
 
-@query(f"WITH {X.ITEMS}, b AS (SELECT item_id, capacity, reserved + CASE WHEN item_id % 17 = 0 THEN 1 ELSE 0 END AS counter, reserved AS a, sold AS s FROM i) SELECT item_id, a + s > capacity AS oversold, counter <> a AS wrong_counter FROM b WHERE a + s > capacity OR counter <> a")
+@query(f"""WITH {X.ITEMS}, b AS (SELECT item_id, capacity, reserved + CASE WHEN item_id % 17 = 0 THEN 1 ELSE 0 END AS counter, reserved AS a, sold AS s FROM i)
+SELECT item_id, a + s > capacity AS oversold, counter <> a AS wrong_counter
+FROM b WHERE a + s > capacity OR counter <> a""")
 def reserve_gates(t: Tables) -> DataFrame:
     items, r = X.items(t)
     return folds.reservation_gates(items.withColumn("reserved", F.col("reserved") + F.when(F.col("item_id") % 17 == 0, 1).otherwise(0)), r)

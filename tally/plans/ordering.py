@@ -18,23 +18,29 @@ def _ids(t: Tables) -> DataFrame:
     return X.events(t).select((F.col("key") % 8).alias("worker"), "pos", (F.col("pos") - F.when(F.col("k") % 9 == 0, 40).otherwise(0)).alias("id"))
 
 
-@query(f"WITH {_STREAM}, l AS (SELECT *, lag(id) OVER (PARTITION BY worker ORDER BY pos) AS before FROM i) SELECT worker, pos, id, before FROM l WHERE id <= before")
+@query(f"""WITH {_STREAM}, l AS (SELECT *, lag(id) OVER (PARTITION BY worker ORDER BY pos) AS before FROM i)
+SELECT worker, pos, id, before FROM l WHERE id <= before""")
 def monotonic_violations(t: Tables) -> DataFrame:
     return sequences.monotonic_violations(_ids(t), ["worker"], "id", "pos").select("worker", "pos", "id", "before")
 
 
-@query(f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos)::INT AS sighting FROM i) SELECT id, pos, sighting FROM r WHERE sighting > 1")
+@query(f"""WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos)::INT AS sighting FROM i)
+SELECT id, pos, sighting FROM r WHERE sighting > 1""")
 def dup_ids(t: Tables) -> DataFrame:
     return sequences.repeats(_ids(t), "id", "pos").select("id", "pos", "sighting")
 
 
-@query(f"WITH {_STREAM}, r AS (SELECT worker, row_number() OVER (PARTITION BY worker ORDER BY pos) AS a, row_number() OVER (PARTITION BY worker ORDER BY id, pos) AS s FROM i) SELECT worker, count(*) AS n, round(sum(abs(a - s))::DOUBLE / (count(*) * count(*)), 9) AS displacement FROM r GROUP BY 1")
+@query(f"""WITH {_STREAM}, r AS (SELECT worker, row_number() OVER (PARTITION BY worker ORDER BY pos) AS a, row_number() OVER (PARTITION BY worker ORDER BY id, pos) AS s FROM i)
+SELECT worker, count(*) AS n, round(sum(abs(a - s))::DOUBLE / (count(*) * count(*)), 9) AS displacement
+FROM r GROUP BY 1""")
 def rank_displacement(t: Tables) -> DataFrame:
     placed = _ids(t).withColumn("sort_key", F.struct("id", "pos"))
     return sequences.rank_displacement(placed, "worker", "pos", "sort_key").withColumn("displacement", F.round("displacement", 9))
 
 
-@query("WITH s AS (SELECT o_custkey AS user_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders) SELECT user_id, count(*) AS n, max(seq)::INT AS top FROM s WHERE o_orderkey % 13 <> 0 GROUP BY 1 HAVING count(*) <> max(seq)")
+@query("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders)
+SELECT user_id, count(*) AS n, max(seq)::INT AS top FROM s WHERE o_orderkey % 13 <> 0
+GROUP BY 1 HAVING count(*) <> max(seq)""")
 def gap_check(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
@@ -47,7 +53,8 @@ def lease_sessions(t: Tables) -> DataFrame:
     return sequences.sessions(X.leases(t), "worker", "pos").select("worker", "session", "owner", "start_ms", "end_ms")
 
 
-_FENCED = f"WITH {X.EVENTS}, f AS (SELECT key % 10 AS resource, pos, pos // 50 - k % 3 AS token FROM e), m AS (SELECT *, max(token) OVER (PARTITION BY resource ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f)"
+_FENCED = f"""WITH {X.EVENTS}, f AS (SELECT key % 10 AS resource, pos, pos // 50 - k % 3 AS token FROM e),
+m AS (SELECT *, max(token) OVER (PARTITION BY resource ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f)"""
 
 
 @query(f"{_FENCED} SELECT resource, pos, token, token >= coalesce(top, token) AS accepted FROM m")
@@ -56,12 +63,14 @@ def fencing_accept(t: Tables) -> DataFrame:
     return sequences.fenced(attempts, "resource", "pos", "token")
 
 
-@query(f"{_FENCED} SELECT resource, count(*) FILTER (WHERE token >= coalesce(top, token)) AS accepted, count(*) FILTER (WHERE token < top) AS rejected FROM m GROUP BY 1")
+@query(f"""{_FENCED} SELECT resource, count(*) FILTER (WHERE token >= coalesce(top, token)) AS accepted, count(*) FILTER (WHERE token < top) AS rejected
+FROM m GROUP BY 1""")
 def fencing_summary(t: Tables) -> DataFrame:
     return fencing_accept(t).groupBy("resource").agg(F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("rejected"))
 
 
-@query(f"WITH {X.ENTRIES} SELECT account, op, cents, row_number() OVER (PARTITION BY account ORDER BY op, cents)::INT AS seq, (sum(cents) OVER (PARTITION BY account ORDER BY op, cents ROWS UNBOUNDED PRECEDING))::BIGINT AS balance FROM en")
+@query(f"""WITH {X.ENTRIES} SELECT account, op, cents, row_number() OVER (PARTITION BY account ORDER BY op, cents)::INT AS seq, (sum(cents) OVER (PARTITION BY account ORDER BY op, cents ROWS UNBOUNDED PRECEDING))::BIGINT AS balance
+FROM en""")
 def ledger_running(t: Tables) -> DataFrame:
     return sequences.running_balance(X.entries(t), "account", ["op", "cents"], "cents").select("account", "op", "cents", "seq", "balance")
 
@@ -71,13 +80,17 @@ def latest_n(t: Tables) -> DataFrame:
     return sequences.latest_n(t.orders.select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 10)
 
 
-@query(f"WITH {X.EVENTS}, f AS (SELECT kind AS name, min(ms) AS ts FROM e GROUP BY 1) SELECT name, ts - (SELECT ts FROM f WHERE name = 'error') AS ms FROM f")
+@query(f"""WITH {X.EVENTS}, f AS (SELECT kind AS name, min(ms) AS ts FROM e GROUP BY 1)
+SELECT name, ts - (SELECT ts FROM f WHERE name = 'error') AS ms
+FROM f""")
 def rto_timeline(t: Tables) -> DataFrame:
     first = X.events(t).groupBy(F.col("kind").alias("name")).agg(F.min("ms").alias("ts"))
     return sequences.timeline(first, "error")
 
 
-@query(f"WITH {X.ORDERS}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 700 AS chunk FROM o WHERE id % 3 <> 0) SELECT chunk, min(id) AS low, max(id) AS high, count(*) AS n FROM n GROUP BY 1")
+@query(f"""WITH {X.ORDERS}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 700 AS chunk FROM o WHERE id % 3 <> 0)
+SELECT chunk, min(id) AS low, max(id) AS high, count(*) AS n FROM n
+GROUP BY 1""")
 def chunk_bounds(t: Tables) -> DataFrame:
     return sequences.chunk_bounds(X.orders(t).filter("id % 3 <> 0"), "id", 700)
 
@@ -125,13 +138,16 @@ def gtid_count(t: Tables) -> DataFrame:
     return intervals.set_size(intervals.parsed_sets(_sets(t), "text", "node"), "node")
 
 
-@query(f"WITH {_SETS}, d AS (SELECT DISTINCT uuid, x FROM b WHERE node IN (0, 1) EXCEPT SELECT uuid, x FROM b WHERE node IN (1, 2)), g AS (SELECT uuid, x, x - row_number() OVER (PARTITION BY uuid ORDER BY x) AS g FROM d) SELECT uuid, min(x) AS lo, max(x) AS hi FROM g GROUP BY uuid, g")
+@query(f"""WITH {_SETS}, d AS (SELECT DISTINCT uuid, x FROM b WHERE node IN (0, 1) EXCEPT SELECT uuid, x FROM b WHERE node IN (1, 2)),
+g AS (SELECT uuid, x, x - row_number() OVER (PARTITION BY uuid ORDER BY x) AS g FROM d)
+SELECT uuid, min(x) AS lo, max(x) AS hi FROM g GROUP BY uuid, g""")
 def gtid_subtract(t: Tables) -> DataFrame:
     sets = intervals.parsed_sets(_sets(t), "text", "node")
     return intervals.subtracted(sets.filter("node IN (0, 1)"), sets.filter("node IN (1, 2)"))
 
 
-@query(f"WITH {_SETS}, d AS (SELECT DISTINCT uuid, x FROM b), g AS (SELECT uuid, x, x - row_number() OVER (PARTITION BY uuid ORDER BY x) AS g FROM d) SELECT uuid, min(x) AS lo, max(x) AS hi FROM g GROUP BY uuid, g")
+@query(f"""WITH {_SETS}, d AS (SELECT DISTINCT uuid, x FROM b), g AS (SELECT uuid, x, x - row_number() OVER (PARTITION BY uuid ORDER BY x) AS g FROM d)
+SELECT uuid, min(x) AS lo, max(x) AS hi FROM g GROUP BY uuid, g""")
 def gtid_union(t: Tables) -> DataFrame:
     return intervals.merged_sets(intervals.parsed_sets(_sets(t), "text"))
 
@@ -205,7 +221,8 @@ def route_ops(t: Tables) -> DataFrame:
     return routing.routed(ops, F.col("mode"), F.col("shard")).drop("shard")
 
 
-@query(f"WITH {X.ORDERS}, p AS (SELECT id, CASE WHEN id % 71 = 0 THEN (id + 1) % 4 ELSE id % 4 END AS shard FROM o) SELECT id, shard FROM p WHERE shard <> id % 4")
+@query(f"""WITH {X.ORDERS}, p AS (SELECT id, CASE WHEN id % 71 = 0 THEN (id + 1) % 4 ELSE id % 4 END AS shard FROM o)
+SELECT id, shard FROM p WHERE shard <> id % 4""")
 def misplaced_rows(t: Tables) -> DataFrame:
     placed = X.orders(t).select("id", F.when(F.col("id") % 71 == 0, (F.col("id") + 1) % 4).otherwise(F.col("id") % 4).alias("shard"))
     return routing.misplaced(placed, "shard", F.col("id") % 4)
@@ -217,12 +234,13 @@ def shard_split(t: Tables) -> DataFrame:
     return o.filter("shard = 0").unionByName(o.filter("shard = 1"))
 
 
-@query(f"WITH {X.ORDERS}, {X.TARGET} SELECT (SELECT count(*) FROM tg) AS shards, (SELECT count(*) FROM o) AS reference, (SELECT count(*) FROM tg) = (SELECT count(*) FROM o) AS ok")
+@query(f"""WITH {X.ORDERS}, {X.TARGET} SELECT (SELECT count(*) FROM tg) AS shards, (SELECT count(*) FROM o) AS reference, (SELECT count(*) FROM tg) = (SELECT count(*) FROM o) AS ok""")
 def shard_counts(t: Tables) -> DataFrame:
     return routing.shard_counts(X.target(t), "priority", X.orders(t))
 
 
-@query(f"WITH {X.EVENTS}, g AS (SELECT unnest([{{'low': 100, 'high': 180}}, {{'low': 5000, 'high': 5200}}], recursive := true)) SELECT pos, coalesce(high, pos) AS released_at FROM e LEFT JOIN g ON pos >= low AND pos < high")
+@query(f"""WITH {X.EVENTS}, g AS (SELECT unnest([{{'low': 100, 'high': 180}}, {{'low': 5000, 'high': 5200}}], recursive := true))
+SELECT pos, coalesce(high, pos) AS released_at FROM e LEFT JOIN g ON pos >= low AND pos < high""")
 def write_gate(t: Tables) -> DataFrame:
     gates = t.spark.createDataFrame([(100, 180), (5000, 5200)], "low long, high long")
     return routing.gated(X.events(t).select("pos"), gates, "pos")

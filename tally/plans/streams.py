@@ -14,7 +14,7 @@ from .fixtures import Tables
 from .registry import query
 
 _ACTION = "CASE WHEN op IN ('r', 'c', 'u') THEN 'upsert' WHEN op = 'd' THEN 'delete' ELSE 'skip' END"
-_STATE = f"{X.CHANGES}, ac AS (SELECT *, {_ACTION} AS action FROM ch), la AS (SELECT key, arg_max(action, pos) AS action, arg_max(k, pos) AS k FROM ac WHERE action <> 'skip' GROUP BY 1)"
+_STATE = f"""{X.CHANGES}, ac AS (SELECT *, {_ACTION} AS action FROM ch), la AS (SELECT key, arg_max(action, pos) AS action, arg_max(k, pos) AS k FROM ac WHERE action <> 'skip' GROUP BY 1)"""
 
 
 @query(f"WITH {X.CHANGES} SELECT pos, {_ACTION} AS action FROM ch")
@@ -40,14 +40,17 @@ def cdc_replayed(t: Tables) -> DataFrame:
     return E.final_state(c.unionByName(c), "key", "pos", ["k"])
 
 
-@query(f"WITH {_STATE}, tb AS (SELECT DISTINCT key + 100 AS key, -1 AS k FROM e) SELECT key, k FROM la WHERE action = 'upsert' UNION ALL SELECT key, k FROM tb ANTI JOIN la USING (key)")
+@query(f"""WITH {_STATE}, tb AS (SELECT DISTINCT key + 100 AS key, -1 AS k FROM e)
+SELECT key, k FROM la WHERE action = 'upsert' UNION ALL SELECT key, k
+FROM tb ANTI JOIN la USING (key)""")
 def cdc_apply(t: Tables) -> DataFrame:
     c = X.changes(t)
     table = c.select((F.col("key") + 100).alias("key"), F.lit(-1).alias("k")).distinct()
     return E.applied_log(table, c, "key", "pos", ["k"])
 
 
-@query(f"WITH {X.CHANGES} SELECT op, count(*) AS n, round(avg(k * 10 + 5), 6) AS mean_ms, max(k * 10 + 5)::BIGINT AS max_ms FROM ch WHERE op IS NOT NULL GROUP BY 1")
+@query(f"""WITH {X.CHANGES} SELECT op, count(*) AS n, round(avg(k * 10 + 5), 6) AS mean_ms, max(k * 10 + 5)::BIGINT AS max_ms
+FROM ch WHERE op IS NOT NULL GROUP BY 1""")
 def cdc_lag(t: Tables) -> DataFrame:
     c = X.changes(t).filter("op IS NOT NULL").withColumn("seen", F.col("ms") + F.col("k") * 10 + 5)
     return E.lag(c, "ms", "seen", "op").withColumn("mean_ms", F.round("mean_ms", 6))
@@ -79,7 +82,8 @@ def poison_split(t: Tables) -> DataFrame:
     return E.validated(X.messages(t)).select("pos", "ok", F.coalesce("amount", F.lit(-1)).alias("amount"))
 
 
-@query(f"WITH {X.EVENTS} SELECT 'e' || pos AS event_id, key AS account_id, k::BIGINT AS amount FROM e WHERE {X.POISON} AND pos % 67 <> 0 AND pos % 2 = 0")
+@query(f"""WITH {X.EVENTS} SELECT 'e' || pos AS event_id, key AS account_id, k::BIGINT AS amount
+FROM e WHERE {X.POISON} AND pos % 67 <> 0 AND pos % 2 = 0""")
 def dlq_repair(t: Tables) -> DataFrame:
     """Quarantined events as the table of record has them; it knows the even ones."""
     parsed = E.validated(X.messages(t))
@@ -104,7 +108,8 @@ def outbox_batch(t: Tables) -> DataFrame:
     return E.outbox_batch(outbox, 500).select("id")
 
 
-@query(f"WITH {X.EVENTS}, c AS (SELECT key % 5 AS consumer, max(pos) AS pos FROM e GROUP BY 1) SELECT min(pos) >= 9000 AS ready, min(pos) AS slowest FROM c")
+@query(f"""WITH {X.EVENTS}, c AS (SELECT key % 5 AS consumer, max(pos) AS pos FROM e GROUP BY 1)
+SELECT min(pos) >= 9000 AS ready, min(pos) AS slowest FROM c""")
 def lsn_gate(t: Tables) -> DataFrame:
     return E.position_gate(X.events(t).groupBy((F.col("key") % 5).alias("consumer")).agg(F.max("pos").alias("pos")), 9000)
 
@@ -123,7 +128,9 @@ def catchup_overlap(t: Tables) -> DataFrame:
     return sequences.last_of(first.unionByName(second), ["key"], "pos").select("key", "k")
 
 
-@query(f"WITH {X.EVENTS}, w AS (SELECT key, arg_max(k, pos) AS k FROM e WHERE pos >= 7000 GROUP BY 1), o AS (SELECT key, arg_max(k, pos) AS k FROM e WHERE pos < 7000 GROUP BY 1) SELECT key, k FROM w UNION ALL SELECT key, k FROM o ANTI JOIN w USING (key)")
+@query(f"""WITH {X.EVENTS}, w AS (SELECT key, arg_max(k, pos) AS k FROM e WHERE pos >= 7000 GROUP BY 1),
+o AS (SELECT key, arg_max(k, pos) AS k FROM e WHERE pos < 7000 GROUP BY 1)
+SELECT key, k FROM w UNION ALL SELECT key, k FROM o ANTI JOIN w USING (key)""")
 def reverse_catchup(t: Tables) -> DataFrame:
     """Writes since a cutover replayed onto the old copy."""
     e = X.events(t).select("pos", "key", "k")
@@ -133,13 +140,16 @@ def reverse_catchup(t: Tables) -> DataFrame:
     return replaced(last(e.filter("pos < 7000")), last(e.filter("pos >= 7000")), "key")
 
 
-@query(f"WITH {X.EVENTS}, l AS (SELECT key, arg_max(kind, pos) AS kind, arg_max(k, pos) AS k, count(*) AS ops FROM e GROUP BY 1) SELECT key, kind, k, ops FROM l")
+@query(f"""WITH {X.EVENTS}, l AS (SELECT key, arg_max(kind, pos) AS kind, arg_max(k, pos) AS k, count(*) AS ops FROM e GROUP BY 1)
+SELECT key, kind, k, ops FROM l""")
 def journal_final(t: Tables) -> DataFrame:
     e = X.events(t)
     return e.groupBy("key").agg(F.max_by("kind", "pos").alias("kind"), F.max_by("k", "pos").alias("k"), F.count("*").alias("ops"))
 
 
-@query(f"WITH {X.EVENTS}, l AS (SELECT key, arg_max(kind, pos) AS kind FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE kind <> 'error' AND key >= 50) AS inserts_alive, count(*) FILTER (WHERE kind = 'error' AND key < 50) AS seeded_deleted FROM l")
+@query(f"""WITH {X.EVENTS}, l AS (SELECT key, arg_max(kind, pos) AS kind FROM e GROUP BY 1)
+SELECT count(*) FILTER (WHERE kind <> 'error' AND key >= 50) AS inserts_alive, count(*) FILTER (WHERE kind = 'error' AND key < 50) AS seeded_deleted
+FROM l""")
 def count_reconcile(t: Tables) -> DataFrame:
     last = X.events(t).groupBy("key").agg(F.max_by("kind", "pos").alias("kind"))
     gone = F.col("kind") == "error"
@@ -156,7 +166,10 @@ def latest_per_label(t: Tables) -> DataFrame:
     return sequences.last_of(X.events(t).select(F.col("kind").alias("label"), "k", "pos").withColumn("o", F.col("pos")), ["label"], "o").select("label", "k", "pos")
 
 
-@query(f"WITH {X.EVENTS}, q AS (SELECT pos, key, k, key % 3 AS target FROM e WHERE kind = 'error'), rp AS (SELECT key, arg_max(k, pos) AS k FROM q WHERE target <> 2 GROUP BY 1) SELECT key, k, 'applied' AS side FROM rp UNION ALL SELECT key, k, 'kept' FROM q WHERE target = 2")
+@query(f"""WITH {X.EVENTS}, q AS (SELECT pos, key, k, key % 3 AS target FROM e WHERE kind = 'error'),
+rp AS (SELECT key, arg_max(k, pos) AS k FROM q WHERE target <> 2 GROUP BY 1)
+SELECT key, k, 'applied' AS side FROM rp UNION ALL SELECT key, k, 'kept'
+FROM q WHERE target = 2""")
 def repair_queue(t: Tables) -> DataFrame:
     """A repair queue replayed for two of three targets, the rest kept."""
     q = X.events(t).filter("kind = 'error'").withColumn("target", F.col("key") % 3)
