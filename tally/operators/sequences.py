@@ -66,20 +66,23 @@ def sessions(events: DataFrame, resource: str, order: str) -> DataFrame:
     return marked.groupBy(resource, "session").agg(F.min_by("owner", order).alias("owner"), F.min("at").alias("start_ms"), F.least(end, F.coalesce(released, end)).alias("end_ms"))
 
 
-def chunk_bounds(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(chunk, low, high, n): bounds of runs of `size` keys in order.
+def chunk_bounds(df: DataFrame, key: str, size: int, buckets: int = 4096) -> DataFrame:
+    """(chunk, low, high, n): bounds of runs of `size` keys in order; key is a unique whole number.
 
-    A range partitioning and one count for each partition give every row its number, so no
-    task sees all keys.
+    Keys fall into buckets of equal width, whose counts give each bucket's first number; rows
+    are numbered inside their bucket only, so no task sees all keys. The bucket depends on the
+    key alone, whatever the partitions.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(F.col(key).alias("k")).repartitionByRange(n, "k").withColumn("p", F.spark_partition_id())
-    counted = placed.groupBy("p").agg(F.count("*").alias("c"), F.min("k").alias("first"))
-    offsets = counted.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("p").orderBy("k"))
-    numbered = placed.withColumn("i", local).join(F.broadcast(offsets.select("p", "before")), "p").withColumn("chunk", F.floor((F.col("i") + F.col("before") - 1) / size))
-    return numbered.groupBy("chunk").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"))
+    keys = df.select(F.col(key).cast("long").alias("k"))
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    placed = keys.withColumn("b", F.expr(f"(k - {low or 0}L) div {width}L"))
+    counted = placed.groupBy("b").agg(F.count("*").alias("c"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))  # at most `buckets` rows
+    numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("k"))).join(F.broadcast(offsets), "b")
+    chunk = F.expr(f"(i + before - 1) div {size}").alias("chunk")
+    return numbered.select("k", chunk).groupBy("chunk").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"))
 
 
 def after(a: Column, b: Column, x, y) -> Column:
