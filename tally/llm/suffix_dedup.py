@@ -288,7 +288,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
     plain = marked.select(C.id_col().alias("did"), F.col("_sd_k1").alias("k1"), F.col("_sd_k2").alias("k2"), C.text_col().alias("text")).filter(F.octet_length("text") >= length)
     # Equal texts give one row for each anchor, that of the smallest id.
     anchors = C.staged(plain.mapInArrow(_anchors(length, gram), _ANCHOR).groupBy("g", "k1", "k2", "low", "high", "places", "n").agg(F.min("did").alias("did")), "anchors")
-    again = anchors.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
+    # Written, so that the join deals both sides out anew and can split a gram that many texts have.
+    again = C.staged(anchors.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g"), "grams")
     wanted = anchors.join(again, "g").groupBy("did", "k1", "k2").agg(F.collect_list(F.struct("g", "low", "high", "places")).alias("wanted"))
     around = C.staged(plain.join(wanted, ["did", "k1", "k2"]).mapInArrow(_contexts(length), _CONTEXT), "contexts")
     place = F.struct("k1", "k2", "places")
