@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layout of a packed identifier: milliseconds, 10 bits of worker, 12 bits of sequence.
-WORKER_BITS, SEQ_BITS = 10, 12
-MAX_WORKER, MAX_SEQ = (1 << WORKER_BITS) - 1, (1 << SEQ_BITS) - 1
-#: 2024-01-01T00:00:00Z
+# The layout of a packed identifier (milliseconds, 10 bits of worker, 12 bits of
+# sequence), its epoch of 2024-01-01T00:00:00Z, and the odd factor of the scramble.
+WORKER_BITS = 10
+SEQ_BITS = 12
 EPOCH_MS = 1_704_067_200_000
-
 SCRAMBLE = 2654435761
 
+MAX_WORKER, MAX_SEQ = (1 << WORKER_BITS) - 1, (1 << SEQ_BITS) - 1
+
 
 def name_first(name: Column) -> Column:
     """All before the last space; the whole name without one."""

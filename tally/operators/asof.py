@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .metrics import indexed
 
+# Fixed value: how far a write may be stamped after a read that it may have served.
 SLOP_MS = 100
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .sequences import first_of
 
-#: Envelope operations that carry a row image: snapshot read, create, update.
+# Envelope operations that carry a row image (snapshot read, create, update).
 IMAGE_OPS = ("r", "c", "u")
 
 

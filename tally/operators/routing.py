@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The modes, from one node to shards.
 MODES = ("single", "double-write", "shadow-read", "sharded")
 
 
