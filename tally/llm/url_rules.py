@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: rule, verdict
+# Rule, verdict.
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
