@@ -226,9 +226,10 @@ def train(corpus: Corpus, stride: int = STRIDE, rounds: int = ROUNDS, seed: int
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["tokens", "weights"])
 
-        learnt = C.staged(corpus.bound.select("dids", "sizes", "units").mapInArrow(learn, _WEIGHTS), "weights")
-        groups = max(1, math.isqrt(learnt.count()))
-        means = learnt.repartition(groups).mapInArrow(_mean, _WEIGHTS).collect()  # the square root of the number of tasks
+        learnt = corpus.bound.select("dids", "sizes", "units").mapInArrow(learn, _WEIGHTS)
+        # Means of about as many weights as there are means: the driver gets the square root of the number of tasks.
+        groups = max(1, math.isqrt(C.partitions(corpus.bound.sparkSession)))
+        means = learnt.repartition(groups).mapInArrow(_mean, _WEIGHTS).collect()
         if means:
             total = sum(r.tokens for r in means)
             vector = sum(np.frombuffer(r.weights, gru.FLOAT) * gru.FLOAT(r.tokens / total) for r in means).astype(gru.FLOAT)
