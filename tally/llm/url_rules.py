@@ -23,6 +23,8 @@ from . import common as C
 # Rule, verdict.
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT = 0.002
+#: Labelled URLs that a rule rests on at least, however few there are in all.
+MIN_ROWS = 20
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
 DEFAULT = "allow"
@@ -69,10 +71,11 @@ def parsed(pages: DataFrame) -> DataFrame:
     return plain.withColumns({"host": host, "path": path}).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> DataFrame:
     """(rule, verdict, tokens, confidence, support) from labelled (tokens, verdict)."""
     baskets = labelled.filter(F.col("verdict").isNotNull()).select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_rows / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit(_LABEL)) & (F.col("lift") >= min_lift))
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("verdict"), "confidence", "support")
     # A rule that has a shorter one's tokens among its own has to be surer to stay. Rules meet by a shared token, not all with all.

@@ -309,3 +309,12 @@ def test_mined_url_rules_fire(spark):
 def test_each_dealt_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
     assert numbers == list(range(1, 11))
+
+
+def test_url_rules_do_not_rest_on_a_few_rows(spark):
+    """One bad page in a corner of the site is no rule."""
+    rows = [(i, f"http://h{i}.example.edu/p{'abcdefghij'[i % 10]}/{i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 15 == 0 else 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert {r.verdict for r in url_rules.report(pages, labels).collect()} == {"allow"}
+    assert {r.verdict for r in url_rules.verdicts(url_rules.parsed(pages), url_rules.mine(url_rules.page_labels(url_rules.parsed(pages), labels), min_rows=1)).collect()} == {"allow", "block"}
