@@ -252,7 +252,11 @@ def report(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def apply(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id, of the smallest text key among repeated ids."""
-    found = classes(docs.select("doc_id", "text"), bucket_rows)
+    return kept(docs, classes(docs.select("doc_id", "text"), bucket_rows))
+
+
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that apply() keeps, by the (did, key, component_id) of found."""
     keep = found.filter(F.col("did") == F.coalesce("component_id", F.lit(C.NO_ID))).groupBy("component_id").agg(F.min(F.struct("did", "key")).alias("k")).select(F.col("k.did").alias("_nd_did"), F.col("k.key").alias("_nd_key"))
     marked = docs.withColumns({"_nd_did": C.id_col(), "_nd_key": C.text_key()})
     return marked.join(keep, ["_nd_did", "_nd_key"]).dropDuplicates(["_nd_did", "_nd_key"]).select(*docs.columns)
