@@ -37,9 +37,9 @@ PACK_BYTES = 12 << 20
 #: Units of single words, and of words by their ending.
 WORD_UNITS = 1200
 ENDING_UNITS = 400
-#: A round trains on every STRIDE-th training document, another one each round.
+#: A round trains on every STRIDE-th training document, another one each round: as many rounds use each once.
 STRIDE = 12
-ROUNDS = 2
+ROUNDS = STRIDE
 END = b""
 #: Rows of a batch of words; a pack has one row besides them.
 WORD_BATCH = 10_000

@@ -105,3 +105,13 @@ def test_held_out_likelihood(spark):
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum() * 0.97
     assert (held.score > held.base_score).mean() > 0.9
+
+
+def test_every_training_document_is_learnt_from(spark):
+    """At the parameters of the query."""
+    turns = {zlib.crc32(b"%d" % x, 17) % L.STRIDE for x in range(10_000) if not L.held_out(x)}
+    assert turns == {turn % L.STRIDE for turn in range(L.ROUNDS)}
+    out = L.report(C.documents(spark, "/root/testdata/sf0.01")).toPandas()
+    held = out[out.held_out]
+    assert held.score.sum() > held.base_score.sum() * 0.97
+    assert (held.score > held.base_score).mean() > 0.9
