@@ -110,7 +110,7 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:[^0-9/][^/]*)?/?$", 1)
     doc = F.when(number != "", number.cast("long"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow")
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), bad.alias("verdict"))
+    known = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select(F.col("doc_id").cast("long").alias("doc"), bad.alias("verdict"))
     return pages.withColumn("doc", doc).join(known, "doc").select("tokens", "verdict")
 
 

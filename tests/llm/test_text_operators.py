@@ -318,3 +318,10 @@ def test_url_rules_do_not_rest_on_a_few_rows(spark):
     labels = spark.createDataFrame([(i, 0 if i % 15 == 0 else 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert {r.verdict for r in url_rules.report(pages, labels).collect()} == {"allow"}
     assert {r.verdict for r in url_rules.verdicts(url_rules.parsed(pages), url_rules.mine(url_rules.page_labels(url_rules.parsed(pages), labels), min_rows=1)).collect()} == {"allow", "block"}
+
+
+def test_url_labels_without_quality(spark):
+    pages = spark.createDataFrame([(i, f"https://a.example/x/{i}") for i in range(4)], "page_id long, url string")
+    labels = spark.createDataFrame([(0, None, 1), (1, None, 0), (2, 0, None), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = url_rules.page_labels(url_rules.parsed(pages), labels)
+    assert sorted(r.verdict for r in got.collect()) == ["allow", "block", "block"]
