@@ -16,7 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 
 FLOAT = np.float32
-RATE = 4e-3
+RATE = 1e-2
+#: Parallel streams of training, at most and at least, and the tokens that each should have.
+STREAMS, FEW_STREAMS, STREAM_TOKENS = 384, 16, 2_000
 
 
 @dataclass(frozen=True)
@@ -65,10 +67,6 @@ def initial(shape: Shape, mass: np.ndarray, seed: int = 1) -> np.ndarray:
     return vector
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(exp of x less a shift, log of the sum over each column with the shift back). x goes down the columns and is overwritten."""
     shift = FLOAT(0)
@@ -91,28 +89,37 @@ def _by_class(targets: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[i
 def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability after its state."""
     w, n = shape.width, np.arange(len(targets))
-    down = np.ascontiguousarray(states.T)
-    x = p["cw"].T @ down + p["cb"][:, None]
-    out = x[targets // w, n]
-    out -= _exponentials(x)[1]
     order, classes = _by_class(targets, w)
-    down = down[:, order]
-    inside = np.empty(len(targets), x.dtype)
+    down, held = np.ascontiguousarray(states[order].T), targets[order] // w
+    x = p["cw"].T @ down + p["cb"][:, None]
+    got = x[held, n]
+    got -= _exponentials(x)[1]
     for c, at, slots in classes:
         x = p["uw"][:, c * w : (c + 1) * w].T @ down[:, at] + p["ub"][c * w : (c + 1) * w, None]
         own = x[slots, n[: len(slots)]]
-        inside[at] = own - _exponentials(x)[1]
-    out[order] += inside
+        own -= _exponentials(x)[1]
+        got[at] += own
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
 def _step(gates_in: np.ndarray, h: np.ndarray, wh: np.ndarray, n: int):
     """(next state, update gate, reset gate, candidate, recurrent part of the candidate)."""
     own = h @ wh
-    zr = _sigmoid(gates_in[:, : 2 * n] + own[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    candidate = np.tanh(gates_in[:, 2 * n :] + r * own[:, 2 * n :])
-    return candidate + z * (h - candidate), z, r, candidate, own[:, 2 * n :]
+    gates = own[:, : 2 * n] + gates_in[:, : 2 * n]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:, :n], gates[:, n:]
+    candidate = r * own[:, 2 * n :]
+    candidate += gates_in[:, 2 * n :]
+    np.tanh(candidate, out=candidate)
+    new = h - candidate
+    new *= z
+    new += candidate
+    return new, z, r, candidate, own[:, 2 * n :]
 
 
 class Streams:
@@ -161,18 +168,16 @@ def score(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, st
     h = None
     for target, given, start, doc, live in Streams(docs, end, 32, 512).windows(steps):
         h = np.zeros((target.shape[1], shape.hidden), FLOAT) if h is None else h[: target.shape[1]]
-        states, targets, owners = [], [], []
-        for t in range(len(target)):
-            a = int(live[t])
-            if start[t, :a].any():
-                h = h.copy()
-                h[:a][start[t, :a]] = 0
-            h = _step(table[given[t, :a]], h[:a], p["wh"], shape.hidden)[0]
-            states.append(h)
-            targets.append(target[t, :a])
-            owners.append(doc[t, :a])
-        got = log_probabilities(p, shape, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), got.astype(np.float64), len(docs))
+        goes_on = ~start[:, :, None]
+        states = np.empty((int(live.sum()), shape.hidden), FLOAT)
+        at = 0
+        for t, a in enumerate(live.tolist()):
+            h = _step(table[given[t, :a]], h[:a] * goes_on[t, :a], p["wh"], shape.hidden)[0]
+            states[at : at + a] = h
+            at += a
+        inside = np.arange(target.shape[1]) < live[:, None]
+        got = log_probabilities(p, shape, states, target[inside])
+        total += np.bincount(doc[inside], got.astype(np.float64), len(docs))
     return total
 
 
@@ -192,69 +197,78 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     """(loss a token, gradient, last state) of one window; nothing flows into the window before it."""
     p, n = split(vector, shape), shape.hidden
     steps, b = target.shape
+    grad = np.zeros_like(vector)
+    g = split(grad, shape)
     weight = (np.arange(b)[None, :] < live[:, None]).astype(FLOAT)
-    x = p["embed"][given]
-    gates = x @ p["wx"] + p["b"]
-    hs, tape = [h0], []
+    # A unit's share of the gates is the same wherever it stands.
+    gates = (p["embed"] @ p["wx"] + p["b"])[given]
+    goes_on = (~start).astype(FLOAT)[:, :, None]
+    before, tape = np.empty((steps, b, n), FLOAT), []
+    states, last = np.empty((steps, b, n), FLOAT), h0
     for t in range(steps):
-        h = np.where(start[t][:, None], FLOAT(0), hs[-1])
-        new, z, r, candidate, own = _step(gates[t], h, p["wh"], n)
-        tape.append((h, z, r, candidate, own))
-        hs.append(new)
+        h = np.multiply(last, goes_on[t], out=before[t])
+        last, *kept = _step(gates[t], h, p["wh"], n)
+        states[t] = last
+        tape.append(kept)
+    states = states.reshape(-1, n)
     flat = target.ravel()
-    down = np.ascontiguousarray(np.concatenate(hs[1:]).T)
     w = weight.ravel() / max(float(weight.sum()), 1.0)
+    # Tokens of a class stand side by side from here on.
+    order, classes = _by_class(flat, shape.width)
+    held, w = flat[order], w[order]
+    down = np.ascontiguousarray(states[order].T)
     rows, width = np.arange(len(flat)), shape.width
-    grad = np.zeros_like(vector)
-    g = split(grad, shape)
     d = p["cw"].T @ down + p["cb"][:, None]
-    own = d[flat // width, rows]
+    own = d[held // width, rows]
     d, total = _exponentials(d)
     loss = -((own - total) * w).sum()
     d *= w / d.sum(axis=0)
-    d[flat // width, rows] -= w
+    d[held // width, rows] -= w
     g["cw"][:], g["cb"][:] = down @ d.T, d.sum(1)
-    dh = p["cw"] @ d
-    order, classes = _by_class(flat, width)
-    sorted_down, sorted_w = down[:, order], w[order]
-    below = np.empty_like(dh)
+    up = p["cw"] @ d
     for c, at, slots in classes:
         part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
-        d = p["uw"][:, part].T @ sorted_down[:, at] + p["ub"][part, None]
+        d = p["uw"][:, part].T @ down[:, at] + p["ub"][part, None]
         own = d[slots, k]
         d, total = _exponentials(d)
-        loss -= ((own - total) * sorted_w[at]).sum()
-        d *= sorted_w[at] / d.sum(axis=0)
-        d[slots, k] -= sorted_w[at]
-        g["uw"][:, part] += sorted_down[:, at] @ d.T
-        g["ub"][part] += d.sum(1)
-        below[:, at] = p["uw"][:, part] @ d
-    dh[:, order] += below
-    dh = dh.T
+        loss -= ((own - total) * w[at]).sum()
+        d *= w[at] / d.sum(axis=0)
+        d[slots, k] -= w[at]
+        g["uw"][:, part] = down[:, at] @ d.T
+        g["ub"][part] = d.sum(1)
+        up[:, at] += p["uw"][:, part] @ d
+    dh = np.empty_like(states)
+    dh[order] = up.T
     dh = dh.reshape(steps, b, n)
-    dgates = np.empty_like(gates)
+    dgates, recurrent = np.empty_like(gates), np.empty_like(gates)
+    back = np.ascontiguousarray(p["wh"].T)
     carried = np.zeros((b, n), FLOAT)
     for t in range(steps - 1, -1, -1):
-        h, z, r, candidate, own = tape[t]
+        z, r, candidate, own = tape[t]
+        h, own_gates = before[t], dgates[t]
         up = dh[t] + carried
-        dc = up * (1 - z) * (1 - candidate * candidate)
-        dz = up * (h - candidate) * z * (1 - z)
-        dr = dc * own * r * (1 - r)
-        dgates[t] = np.concatenate((dz, dr, dc), 1)
-        recurrent = np.concatenate((dz, dr, dc * r), 1)
-        g["wh"] += h.T @ recurrent
-        carried = np.where(start[t][:, None], FLOAT(0), up * z + recurrent @ p["wh"].T)
-    flat_gates = dgates.reshape(-1, 3 * n)
-    g["wx"][:], g["b"][:] = x.reshape(-1, shape.embedding).T @ flat_gates, flat_gates.sum(0)
-    dx = flat_gates @ p["wx"].T
-    units, place = np.unique(given, return_inverse=True)
-    place = place.ravel()
-    for k in range(shape.embedding):
-        g["embed"][units, k] = np.bincount(place, dx[:, k], len(units))
-    return float(loss), grad, hs[-1]
-
-
-def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, adam: Adam | None = None, steps: int = 16, streams: int = 64, clip: float = 1.0, rate: float = RATE) -> np.ndarray:
+        dc = up * (1 - z)
+        dc *= 1 - candidate * candidate
+        carried = up * z
+        np.multiply(carried * (h - candidate), 1 - z, out=own_gates[:, :n])
+        np.multiply(dc * own, r * (1 - r), out=own_gates[:, n : 2 * n])
+        own_gates[:, 2 * n :] = dc
+        recurrent[t, :, : 2 * n] = own_gates[:, : 2 * n]
+        np.multiply(dc, r, out=recurrent[t, :, 2 * n :])
+        carried += recurrent[t] @ back
+        carried *= goes_on[t]
+    g["wh"][:] = before.reshape(-1, n).T @ recurrent.reshape(-1, 3 * n)
+    # Sums over the places where a unit stands, then through its row of the embedding.
+    flat, dgates = given.ravel(), dgates.reshape(-1, 3 * n)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
+    units, sums = flat[order][first], np.add.reduceat(dgates[order], first, axis=0)
+    g["wx"][:], g["b"][:] = p["embed"][units].T @ sums, sums.sum(0)
+    g["embed"][units] = sums @ p["wx"].T
+    return float(loss), grad, last
+
+
+def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, adam: Adam | None = None, steps: int = 16, streams: int | None = None, clip: float = 1.0, rate: float = RATE) -> np.ndarray:
     """The weights after one pass over docs."""
     vector = vector.copy()
     if not docs:
@@ -266,7 +280,7 @@ def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, ad
     start[np.cumsum([0, *map(len, docs[:-1])])] = True
     given[1:] = target[:-1]
     given[start] = end
-    streams = min(streams, len(target))
+    streams = min(streams or int(np.clip(len(target) // STREAM_TOKENS, FEW_STREAMS, STREAMS)), len(target))
     long = -(-len(target) // streams)
     lanes = lambda x: np.resize(x, streams * long).reshape(streams, long).T
     target, given, start = lanes(target), lanes(given), lanes(start)

@@ -38,7 +38,7 @@ PACK_BYTES = 12 << 20
 WORD_UNITS = 1200
 ENDING_UNITS = 400
 #: A round trains on every STRIDE-th training document, another one each round: as many rounds use each once.
-STRIDE = 12
+STRIDE = 2
 ROUNDS = STRIDE
 END = b""
 #: Rows of a batch of words; a pack has one row besides them.
@@ -46,22 +46,24 @@ WORD_BATCH = 10_000
 
 
 def held_out(doc_id: int | None) -> bool:
-    return doc_id is not None and doc_id != C.NO_ID and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
 _PACK = "pack long, word binary, number int, trained long, documents binary"
 _PACK_PA = pa.schema([("pack", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("trained", pa.int64()), ("documents", pa.binary())])
 
 
-def _packed(dids: list[int], sizes: list[int], tokens: bytes) -> bytes:
-    """A pack's documents as bytes: how many, their ids, token counts and token numbers."""
-    return zlib.compress(b"".join((np.int64(len(dids)).tobytes(), np.array(dids, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), tokens)), 1)
+def _packed(dids: list[int | None], sizes: list[int], tokens: bytes) -> bytes:
+    """A pack's documents as bytes: how many, their ids and which are null, token counts and token numbers."""
+    ids, null = np.array([d or 0 for d in dids], np.int64), np.array([d is None for d in dids])
+    return zlib.compress(b"".join((np.int64(len(dids)).tobytes(), ids.tobytes(), np.array(sizes, np.int32).tobytes(), null.tobytes(), tokens)), 1)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     data = zlib.decompress(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int32, n, 8 + 8 * n), np.frombuffer(data, np.uint32, -1, 8 + 12 * n)
+    ids, null = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, bool, n, 8 + 12 * n)
+    return pa.array(ids, mask=null), np.frombuffer(data, np.int32, n, 8 + 8 * n), np.frombuffer(data[8 + 13 * n :], np.uint32)
 
 
 def _packs(pack_bytes: int):
@@ -85,7 +87,7 @@ def _packs(pack_bytes: int):
                 columns = [pa.array(np.full(n, pack)), pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_PACK_PA)[4:])], schema=_PACK_PA)
 
-        for ids, texts in C.rows_of(batches, "did", "text"):
+        for ids, texts in C.rows_of(batches, "doc_id", "text"):
             for did, text in zip(ids, texts, strict=True):
                 words = text.lower().split()
                 words.append(END)
@@ -121,7 +123,7 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
         dids, sizes, tokens = _unpacked(head)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((words > 0).astype(float), logs - scale, inside)]
-        rows = [[dids], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
+        rows = [[dids.to_pylist()], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, pack_bytes: int = PACK_BYTES):
         spark = docs.sparkSession
         C.small_batches(spark)
-        plain = docs.select(C.id_col().alias("did"), C.text_col().alias("text"))
+        plain = docs.select(F.col("doc_id").cast("long"), C.text_col().alias("text"))
         packs = C.staged(plain.mapInArrow(_packs(pack_bytes), _PACK), "packs")
         words = packs.filter("word IS NOT NULL").select("pack", "word", "number", "trained")
         counts = C.staged(words.groupBy("word").agg(F.sum("trained").alias("count")), "counts")
@@ -165,7 +167,9 @@ class Corpus:
         ending_mass = {WORD_UNITS + i: float(rest.get(WORD_UNITS + i, ADDED)) for i in range(ENDING_UNITS)}
         of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", "number", "count", "unit")
         heads = packs.filter("word IS NULL").select("pack", F.lit(-1).alias("number"), "documents")
-        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(C.partitions(spark), "pack").sortWithinPartitions("pack", "number")
+        # A task binds about one pack, however many there are.
+        tasks = max(C.partitions(spark), packs.filter("word IS NULL").count())
+        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(tasks, "pack").sortWithinPartitions("pack", "number")
         C.small_batches(spark, WORD_BATCH)
         self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
         C.small_batches(spark)
@@ -220,7 +224,7 @@ def train(corpus: Corpus, stride: int = STRIDE, rounds: int = ROUNDS, seed: int
             for b in batches:
                 for i in range(b.num_rows):
                     ids, docs = split_documents(b, i, rank)
-                    mine = [d for x, d in zip(ids, docs, strict=True) if not held_out(x) and zlib.crc32(b"%d" % x, 17) % stride == turn % stride]
+                    mine = [d for x, d in zip(ids, docs, strict=True) if not held_out(x) and zlib.crc32(str(x).encode(), 17) % stride == turn % stride]
                     weights = gru.train(weights, shape, mine, end, adam)
                     tokens += sum(map(len, mine))
             if tokens:
@@ -251,7 +255,7 @@ def scores(corpus: Corpus, vector: np.ndarray) -> DataFrame:
                 inside, base = (b.column(k)[i].values.to_numpy() for k in ("inside", "base"))
                 known = b.column("known")[i].values.to_numpy()
                 n = len(ids)
-                columns = [[None if x == C.NO_ID else x for x in ids], [held_out(x) for x in ids], [len(d) for d in docs], known.astype(np.int64), [tokens] * n, base, own + inside]
+                columns = [ids, [held_out(x) for x in ids], [len(d) for d in docs], known.astype(np.int64), [tokens] * n, base, own + inside]
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SCORE.split(", ")])
 

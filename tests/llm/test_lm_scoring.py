@@ -88,7 +88,7 @@ def check(df, rows):
 
 
 def test_base_model(docs_of):
-    rows = [(i, f"the Word {i % 7} and\tword {i} É é") for i in range(60)] + [(None, "the null"), (100, None), (101, ""), (5, "again the"), (5, "again the"), (200, "long " * 50000)]
+    rows = [(i, f"the Word {i % 7} and\tword {i} É é") for i in range(60)] + [(None, "the null"), (100, None), (101, ""), (2**63 - 1, "the last"), (5, "again the"), (5, "again the"), (200, "long " * 50000)]
     for size in (L.PACK_BYTES, 200):
         out = L.report(docs_of(rows), pack_bytes=size).collect()
         check(out, rows)
@@ -109,7 +109,7 @@ def test_held_out_likelihood(spark):
 
 def test_every_training_document_is_learnt_from(spark):
     """At the parameters of the query."""
-    turns = {zlib.crc32(b"%d" % x, 17) % L.STRIDE for x in range(10_000) if not L.held_out(x)}
+    turns = {zlib.crc32(str(x).encode(), 17) % L.STRIDE for x in range(10_000) if not L.held_out(x)}
     assert turns == {turn % L.STRIDE for turn in range(L.ROUNDS)}
     out = L.report(C.documents(spark, "/root/testdata/sf0.01")).toPandas()
     held = out[out.held_out]
