@@ -67,14 +67,20 @@ def initial(shape: Shape, mass: np.ndarray, seed: int = 1) -> np.ndarray:
     return vector
 
 
-def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp of x less a shift, log of the sum over each column with the shift back). x goes down the columns and is overwritten."""
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of x less a shift, the sums over columns, the shift). x goes down the columns and is overwritten."""
     shift = FLOAT(0)
     if x.max(initial=0) > 60:
         shift = x.max(axis=0)
         x -= shift
     np.exp(x, out=x)
-    return x, np.log(x.sum(axis=0)) + shift
+    return x, x.sum(axis=0), shift
+
+
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp over each column; x is overwritten."""
+    _, total, shift = _exponentials(x)
+    return np.log(total) + shift
 
 
 def _by_class(targets: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, slice, np.ndarray]]]:
@@ -93,11 +99,11 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     down, held = np.ascontiguousarray(states[order].T), targets[order] // w
     x = p["cw"].T @ down + p["cb"][:, None]
     got = x[held, n]
-    got -= _exponentials(x)[1]
+    got -= _log_sums(x)
     for c, at, slots in classes:
         x = p["uw"][:, c * w : (c + 1) * w].T @ down[:, at] + p["ub"][c * w : (c + 1) * w, None]
         own = x[slots, n[: len(slots)]]
-        own -= _exponentials(x)[1]
+        own -= _log_sums(x)
         got[at] += own
     out = np.empty_like(got)
     out[order] = got
@@ -220,9 +226,9 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     rows, width = np.arange(len(flat)), shape.width
     d = p["cw"].T @ down + p["cb"][:, None]
     own = d[held // width, rows]
-    d, total = _exponentials(d)
-    loss = -((own - total) * w).sum()
-    d *= w / d.sum(axis=0)
+    d, total, shift = _exponentials(d)
+    loss = -((own - np.log(total) - shift) * w).sum()
+    d *= w / total
     d[held // width, rows] -= w
     g["cw"][:], g["cb"][:] = down @ d.T, d.sum(1)
     up = p["cw"] @ d
@@ -230,9 +236,9 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
         part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
         d = p["uw"][:, part].T @ down[:, at] + p["ub"][part, None]
         own = d[slots, k]
-        d, total = _exponentials(d)
-        loss -= ((own - total) * w[at]).sum()
-        d *= w[at] / d.sum(axis=0)
+        d, total, shift = _exponentials(d)
+        loss -= ((own - np.log(total) - shift) * w[at]).sum()
+        d *= w[at] / total
         d[slots, k] -= w[at]
         g["uw"][:, part] = down[:, at] @ d.T
         g["ub"][part] = d.sum(1)

@@ -33,7 +33,7 @@ from . import gru
 
 FOLDS = 10
 ADDED = 0.1
-PACK_BYTES = 12 << 20
+PACK_BYTES = 32 << 20
 #: Units of single words, and of words by their ending.
 WORD_UNITS = 1200
 ENDING_UNITS = 400
