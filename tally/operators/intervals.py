@@ -29,7 +29,7 @@ def interleaved(ledger: DataFrame, session: str, idx: str) -> DataFrame:
 def parsed_sets(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, uuid, lo, hi) of sets such as uuid:1-5:7,uuid:1-3."""
     parts = df.select(*keep, F.explode(F.split(F.regexp_replace(F.col(text), r"\s", ""), ",")).alias("p")).filter("p <> ''")
-    ranges = parts.select(*keep, F.substring_index("p", ":", 1).alias("uuid"), F.explode(F.slice(F.split("p", ":"), 2, 1_000_000)).alias("r"))
+    ranges = parts.select(*keep, F.substring_index("p", ":", 1).alias("uuid"), F.explode(F.slice(F.split("p", ":"), F.lit(2), F.size(F.split("p", ":")) - 1)).alias("r"))
     return ranges.select(*keep, "uuid", F.substring_index("r", "-", 1).cast("long").alias("lo"), F.substring_index("r", "-", -1).cast("long").alias("hi"))
 
 

@@ -126,7 +126,33 @@ def test_metrics(spark):
     a = [k for k, _ in sorted(((x.key, x.cnt) for x in approx.collect()), key=lambda x: (-x[1], x[0]))]
     want = sum(len(set(a[:i]) & set(range(i))) / i for i in range(1, 11)) / 10
     assert abs(metrics.rank_overlap(approx, exact).first().overlap - want) < 1e-12
-    assert metrics.tie_aware_equal([(1, 5), (2, 3)], [(1, 5), (9, 3)]) and not metrics.tie_aware_equal([(2, 5), (1, 3)], [(1, 5), (9, 3)])
+
+
+def test_tie_aware_equality(spark):
+    table = lambda *x: spark.createDataFrame(x, "key long, cnt long")
+    truth, want = table((1, 5), (2, 3), (9, 3), (4, 1)), table((1, 5), (9, 3))
+    cases = {((1, 5), (2, 3)): True, ((1, 5), (9, 3)): True, ((2, 5), (1, 3)): False, ((1, 5), (4, 3)): False, ((1, 5), (8, 3)): False, ((1, 5),): False, ((1, 5), (1, 5)): False, ((1, 5), (4, 1)): False}
+    assert {got: metrics.tie_aware_equal(table(*got), want, truth).first().equal for got in cases} == cases
+
+
+def test_bounded_memory_of_the_ordered_sketches():
+    """What they hold is bounded by their counters, however long the stream."""
+    m, n = 50, 60_000
+    rng = random.Random(2)
+    s, c = sketches.SpaceSaving(m), sketches.Candidates(m, width=1 << 10)
+    for _ in range(n):
+        key = int(rng.paretovariate(0.7))
+        s.update(key)
+        c.update(key)
+        assert len(s.count) <= m and len(s.floor.order) <= m and len(c.estimate) <= m and len(c.floor.order) <= m
+    assert len(s.error) == m and sum(s.count.values()) == n
+
+
+def test_many_intervals_of_one_part(spark):
+    n = 1_100_000
+    text = "u:" + ":".join(str(2 * i) for i in range(n))
+    assert intervals.set_size(intervals.parsed_sets(spark.createDataFrame([(text,)], "s string"), "s")).first().n == n
+    assert intervals.parsed_sets(spark.createDataFrame([("u",), ("",), (None,)], "s string"), "s").collect() == []
 
 
 def test_percentiles(spark):
