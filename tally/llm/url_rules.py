@@ -1,10 +1,11 @@
 """URL filters: host and path rules first, then association rules over URL tokens.
 
 FP-growth mines token combinations from labelled URLs, whose label is one more item. Rules
-that conclude a label are pruned by support, confidence and lift, and a rule that has
-another one's tokens as part of its own goes unless it is surer. The rest match by an inverted index from
-token to rule: a rule fires if as many of a URL's tokens point to it as it has. Expressions
-and the built-in FP-growth only.
+that conclude a label are pruned by support and confidence, those that depart from the
+default verdict by lift as well, and a rule that is no surer than one with a token less
+goes. The rest match by an inverted index that has each rule under its rarest token: the
+rules found there fire if a URL has all of their tokens. Of those that fire the surest
+decides, of equally sure ones one that blocks. Expressions and the built-in FP-growth only.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and no
 tokens, and gets the default verdict; a null page_id is carried through; repeated rows are
@@ -22,10 +23,11 @@ from . import common as C
 
 # Rule, verdict.
 SITE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MIN_SUPPORT = 0.002
-#: Labelled URLs that a rule rests on at least, however few there are in all.
+#: Share of the labelled URLs, and number of them, that a rule rests on at least.
+MIN_SUPPORT = 0.0005
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.5
+#: How much likelier than among all labelled URLs its verdict has to be, if it isn't the default.
 MIN_LIFT = 1.5
 DEFAULT = "allow"
 _LABEL = "label="
@@ -54,11 +56,11 @@ def site_rule(host: Column, path: Column, rules=SITE_RULES) -> Column:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens: scheme, host labels and suffixes, path words without digits, query keys."""
+    """Distinct tokens: scheme, host labels and their parts at -, suffixes, path words with 0 for each run of digits, query keys."""
     scheme = F.concat(F.lit("scheme:"), F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host:"), x))
+    labels = F.transform(F.array_union(F.split(host, r"\."), F.split(host, r"[.-]")), lambda x: F.concat(F.lit("host:"), x))
     suffix = F.concat(F.lit("site:"), F.substring_index(host, ".", -3))
-    words = F.transform(F.filter(F.split(path, "/"), lambda x: (x != "") & ~F.regexp_like(x, F.lit("[0-9]"))), lambda x: F.concat(F.lit("path:"), x))
+    words = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0")))
     keys = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1), lambda x: F.concat(F.lit("query:"), x))
     mark = F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(F.array(scheme, suffix), labels, words, keys, mark))).otherwise(F.array().cast("array<string>"))
@@ -71,26 +73,32 @@ def parsed(pages: DataFrame) -> DataFrame:
     return plain.withColumns({"host": host, "path": path}).withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS, default: str = DEFAULT) -> DataFrame:
     """(rule, verdict, tokens, confidence, support) from labelled (tokens, verdict)."""
     baskets = labelled.filter(F.col("verdict").isNotNull()).select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
     support = min(1.0, max(min_support, min_rows / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit(_LABEL)) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("verdict"), "confidence", "support")
-    # A rule that has a shorter one's tokens among its own has to be surer to stay. Rules meet by a shared token, not all with all.
-    terms = rules.select(F.explode("tokens").alias("t"), "tokens", "verdict", "confidence").alias("a")
-    wider = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("more"), F.col("verdict").alias("v"), F.col("confidence").alias("c")).alias("b")
-    beaten = terms.join(wider, "t").filter((F.col("verdict") == F.col("v")) & (F.size("more") > F.size("tokens")) & (F.size(F.array_except("tokens", "more")) == 0) & (F.col("c") <= F.col("confidence"))).select(F.col("more").alias("tokens"), F.col("v").alias("verdict")).distinct()
+    rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit(_LABEL)) & ((F.col("lift") >= min_lift) | (F.col("consequent")[0] == _LABEL + default)))
+    rules = C.staged(rules.select(F.sort_array("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("verdict"), "confidence", "support"), "mined")
+    # Each rule meets those with one token less by their whole token lists.
+    shorter = F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x)))
+    fewer = rules.select("verdict", shorter.alias("less"), "tokens", "confidence")
+    known = rules.select("verdict", F.col("tokens").alias("less"), F.col("confidence").alias("c"))
+    beaten = fewer.join(known, ["verdict", "less"]).filter("confidence <= c").select("tokens", "verdict").distinct()
     kept = rules.join(beaten, ["tokens", "verdict"], "left_anti")
     return kept.select(F.xxhash64("tokens", "verdict").alias("rule"), "verdict", "tokens", "confidence", "support")
 
 
 def fired(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, method): the verdict of the surest rule that fires on a url, for urls on which one does."""
-    index = rules.select("rule", F.explode("tokens").alias("token"), F.size("tokens").alias("need"), "verdict", "confidence")
     urls = pages.select("url", "tokens").distinct()
-    hits = urls.select("url", F.explode("tokens").alias("token")).join(index, "token").groupBy("url", "rule").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("verdict").alias("verdict"), F.max("confidence").alias("confidence")).filter("n = need")
+    postings = urls.select("url", "tokens", F.explode("tokens").alias("token"))
+    # Rules are few beside pages. Under its rarest token a rule meets the fewest of them.
+    terms = rules.select("rule", F.explode("tokens").alias("token"))
+    counts = postings.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarest = terms.join(counts, "token").groupBy("rule").agg(F.min(F.struct("count", "token")).alias("t")).select("rule", F.col("t.token").alias("token"))
+    index = rules.join(rarest, "rule").select("token", F.col("tokens").alias("needed"), "verdict", "confidence")
+    hits = postings.join(index, "token").filter(F.size(F.array_except("needed", "tokens")) == 0)
     return hits.groupBy("url").agg(F.max(F.struct("confidence", "verdict")).alias("best")).select("url", F.col("best.verdict").alias("method"))
 
 
