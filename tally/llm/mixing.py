@@ -11,8 +11,9 @@ Random numbers come from a hash of doc_id and the seed, so reruns agree.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is one more
 source, after all others; a null doc_id draws like an id of its own; rows with equal ids
-draw equal numbers and are ordered by size; sources without words have target 0; an empty
-table gives no rows; other columns are passed on by ``apply``.
+draw equal numbers and are ordered by size; sources without words, and what is left of a
+source at its cap, give no further copies; an empty table gives no rows; other columns are
+passed on by ``apply``, but for one named n_copies, which is replaced.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES, weights: tuple[int,
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(did, key, source, size) of every row of docs."""
-    return docs.select(C.id_col().alias("did"), C.text_key().alias("key"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    """(doc_id, did, key, source, size) of every row of docs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.id_col().alias("did"), C.text_key().alias("key"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
 
 
 def uniform(did, seed: str = SEED):
@@ -63,7 +64,7 @@ def uniform(did, seed: str = SEED):
 
 
 def plan(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(did, key, source, size, source_size, target, copies) of every row of docs."""
+    """(doc_id, did, key, source, size, source_size, target, copies) of every row of docs."""
     rows = C.staged(sizes(docs), "sizes").withColumn("u", uniform(F.col("did"), seed)).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").cast("long").alias("words"))
     goal = targets(cells.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")), max_copies, weights)
@@ -75,27 +76,26 @@ def plan(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, weight
     joined = rows.join(steps, rows["source"].eqNullSafe(F.col("p_source")) & (rows["cell"] == F.col("p_cell")))
     # Within a source the inclusion odds are equal, so the order of the ranks is that of u and each cell is a range of ranks.
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("inclusion") / (1 - F.col("inclusion")))
-    done = joined.filter("after <= want OR before >= want").withColumn("extra", F.expr("after <= want").cast("long"))
+    done = joined.filter("after <= want OR before >= want").withColumn("extra", F.expr("after <= want AND want > 0").cast("long"))
     cut = joined.filter("after > want AND before < want")
     in_cell = Window.partitionBy("source", "cell").orderBy(rank, "did", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(in_cell), F.lit(0))
     cut = cut.withColumn("extra", (ahead + F.col("size") / 2 <= F.col("want")).cast("long"))
-    names = ["did", "key", "source", "size", "source_size", "target", "sure", "extra"]
-    return done.select(*names).unionByName(cut.select(*names)).select("did", "key", "source", "size", "source_size", "target", (F.col("sure") + F.col("extra")).cast("long").alias("copies"))
+    names = ["doc_id", "did", "key", "source", "size", "source_size", "target", "sure", "extra"]
+    return done.select(*names).unionByName(cut.select(*names)).select(*names[:-2], (F.col("sure") + F.col("extra")).cast("long").alias("copies"))
 
 
 def report(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     got = plan(docs, seed, max_copies, weights)
-    return got.select(F.when(F.col("did") != C.NO_ID, F.col("did")).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of docs that the mix takes, with n_copies; equal rows that draw differently share the copies of the luckiest."""
     got = plan(docs, seed, max_copies, weights).groupBy("did", "key").agg(F.max("copies").alias("n_copies")).filter("n_copies > 0")
-    took = got.select(F.col("did").alias("_mx_did"), F.col("key").alias("_mx_key"), F.col("n_copies").alias("_mx_copies"))
-    marked = docs.withColumns({"_mx_did": C.id_col(), "_mx_key": C.text_key()})
-    return marked.join(took, ["_mx_did", "_mx_key"]).select(*[c for c in docs.columns if c != "n_copies"], F.col("_mx_copies").alias("n_copies"))
+    took = C.wrapped(docs, did=C.id_col(), key=C.text_key()).join(got, ["did", "key"])
+    return took.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_copies"), "n_copies")
 
 
 def oracle_sql(seed: str = SEED) -> str:
@@ -114,4 +114,4 @@ e AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0
 r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.sure, e.target - e.sure * e.source_size AS want,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, ((sure + CASE WHEN ahead + size / 2 <= want THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
+SELECT doc_id, size, source_size, target, ((sure + CASE WHEN want > 0 AND ahead + size / 2 <= want THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
