@@ -85,27 +85,28 @@ def _pieces(text: Column, rule: Rule) -> Column:
 
 
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(did, key, copy, spans): each row with its spans (start, order of the rule, end) in order."""
-    # Repeated rows are told apart by a number. The join needs the same order, so texts are sorted once.
-    plain = C.keyed(docs).withColumn("copy", F.row_number().over(Window.partitionBy("did", "key").orderBy("key")))
+    """(doc_id, did, key, copy, spans): each row with its spans (start, order of the rule, end) in order."""
+    plain = C.keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     scan = [i for i, r in enumerate(rules) if not r.trigrams()]
-    rows = plain.join(candidates(postings(C.keyed(docs), rules), rules), ["did", "key"], "left")
+    # The few candidates are the hashed side, so that texts are dealt out but never sorted. Repeated rows
+    # are told apart by a number, which only has to differ between rows of one task: none is dealt out again.
+    rows = plain.join(candidates(postings(C.keyed(docs), rules), rules).hint("shuffle_hash"), ["did", "key"], "left").withColumn("copy", F.monotonically_increasing_id())
     text = F.replace(F.replace(F.col("text"), F.lit(_OPEN), F.lit(_OTHER)), F.lit(_CLOSE), F.lit(_OTHER))
     due = [F.struct(F.lit(i).alias("rule"), F.when(F.lit(i in scan) | F.coalesce(F.array_contains("rules", i), F.lit(False)), _pieces(text, r)).alias("pieces")) for i, r in enumerate(rules)]
-    cut = rows.select("did", "key", "copy", F.filter(F.array(*due), lambda x: F.size(x["pieces"]) > 1).alias("found"))
-    per_rule = cut.select("did", "key", "copy", F.explode_outer("found").alias("f"))
-    per_piece = per_rule.select("did", "key", "copy", F.col("f.rule").alias("rule"), F.posexplode_outer("f.pieces").alias("at", "piece"))
+    cut = rows.select("doc_id", "did", "key", "copy", F.filter(F.array(*due), lambda x: F.size(x["pieces"]) > 1).alias("found"))
+    per_rule = cut.select("doc_id", "did", "key", "copy", F.explode_outer("found").alias("f"))
+    per_piece = per_rule.select("doc_id", "did", "key", "copy", F.col("f.rule").alias("rule"), F.posexplode_outer("f.pieces").alias("at", "piece"))
     # The first piece has no match; of the others, what stands before the mark is one.
     match = F.when(F.col("at") > 0, F.substring_index("piece", _CLOSE, 1))
     group = F.lit(None).cast("string")
     for i, r in enumerate(rules):
         group = F.when(F.col("rule") == i, F.regexp_extract("match", r.java(), r.group) if r.group else F.col("match")).otherwise(group)
     least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rule") + 1)
-    sized = per_piece.withColumn("match", match).select("did", "key", "copy", "rule", "at", F.length("match").alias("n"), (F.length("piece") - F.when(F.col("at") > 0, 1).otherwise(0)).alias("size"), (F.length(group) >= least).alias("counts"))
+    sized = per_piece.withColumn("match", match).select("doc_id", "did", "key", "copy", "rule", "at", F.length("match").alias("n"), (F.length("piece") - F.when(F.col("at") > 0, 1).otherwise(0)).alias("size"), (F.length(group) >= least).alias("counts"))
     before = Window.partitionBy("did", "key", "copy", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     span = F.when(F.col("counts") & (F.col("at") > 0), F.struct("start", "rule", (F.col("start") + F.col("n")).alias("end")))
-    return placed.groupBy("did", "key", "copy").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return placed.groupBy("did", "key", "copy").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -119,7 +120,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame:
     found = spans(docs, every)
     count = lambda i: F.size(F.filter("spans", lambda s: s["rule"] == i)).cast("long")
     base = _joined(F.filter("spans", lambda s: s["rule"] < len(BASE)), every)
-    return found.select(F.when(F.col("did") != C.NO_ID, F.col("did")).alias("doc_id"), *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans"), every).alias("spans"))
+    return found.select("doc_id", *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans"), every).alias("spans"))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = MORE) -> str:
