@@ -11,6 +11,12 @@ compared as pieces of that offset. Every claim is verified on the bytes. Groups
 GROUP_ROWS contexts compare their windows as hashed rows of a shuffle instead, which needs
 no group in one place. Equal texts are compared once and lose everything.
 
+Passages of over PASSAGE_WORDS words that other documents have as well are counted beside
+the bytes, as many are shorter than LENGTH. Of each PASSAGE_WORDS + 1 words in a row the
+run of PASSAGE_GRAM with the smallest hash stands for all of them, so two documents with
+such a passage have one of these runs in common, and two that share no PASSAGE_GRAM words
+have none.
+
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing, and neither does a
 window that is nowhere else; repeated rows are copies of one another, as are rows that share
 a doc_id; a null doc_id is carried through; an empty table gives no rows; other columns are
@@ -29,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .decontaminate import word_hashes
 from .suffixes import Texts, powers, prefix_hashes
 
 LENGTH = 400
 GRAM = 128
+PASSAGE_WORDS = 50
+#: Words that passages are found by.
+PASSAGE_GRAM = 40
 #: Contexts of one gram that a task sorts.
 GROUP_ROWS = 20_000
 #: Contexts that a task sorts at once.
@@ -276,16 +286,51 @@ def _compare(length: int, group_rows: int):
     return run
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
+def passage_grams(text: bytes, over: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> np.ndarray:
+    """Hashes of the runs of gram words that stand for the passages of a text, each once; none if it has no over + 1 words."""
+    words = text.split()
+    n, span = len(words) - over, over + 2 - gram
+    if n < 1:
+        return np.zeros(0, np.int64)
+    up, down = powers(1 << len(words).bit_length())
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(_mixed(word_hashes(words)) * up[: len(words)], out=prefix[1:])
+    least = _mixed((prefix[gram:] - prefix[:-gram]) * down[: len(words) - gram + 1])
+    width = 1
+    while width * 2 <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.unique(np.minimum(least[:n], least[span - width : span - width + n])).view(np.int64)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        grams = pa.array([passage_grams(t) for t in C.binary(b.column("text"))], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), grams], names=["k1", "k2", "grams"])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(k1, k2, n_passages): for each text that has any, its passage grams that other documents have too."""
+    C.small_batches(docs.sparkSession)
+    rows = docs.select(*_keys(), C.text_col().alias("text")).mapInArrow(_grams, "k1 long, k2 long, grams array<long>").filter(F.size("grams") > 0)
+    texts = C.staged(rows.groupBy("k1", "k2").agg(F.first("grams").alias("grams"), F.count("*").alias("n")), "passages")
+    # Grams of equal texts are all shared; for the others it takes two texts.
+    single = texts.select("k1", "k2", F.explode("grams").alias("gram"))
+    shared = C.staged(single.groupBy("gram").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("gram"), "passages")
+    met = single.join(shared, "gram").groupBy("k1", "k2").agg(F.count("*").alias("n_passages"))
+    copies = texts.filter("n > 1").select("k1", "k2", F.size("grams").cast("long").alias("n_passages"))
+    return met.unionByName(copies).groupBy("k1", "k2").agg(F.max("n_passages").alias("n_passages"))
+
+
+def _keys() -> list:
     text = C.text_col()
-    return docs.withColumns({"_sd_k1": F.xxhash64(text), "_sd_k2": F.xxhash64(F.lit("second"), text)})
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(k1, k2, whole, ranges): for each text, by its two hashes, that loses something: all of it, or ranges of window offsets (low, high) at anchors (places), unmerged."""
     C.small_batches(docs.sparkSession)
-    marked = _with_keys(docs)
-    plain = marked.select(C.id_col().alias("did"), F.col("_sd_k1").alias("k1"), F.col("_sd_k2").alias("k2"), C.text_col().alias("text")).filter(F.octet_length("text") >= length)
+    plain = docs.select(C.id_col().alias("did"), *_keys(), C.text_col().alias("text")).filter(F.octet_length("text") >= length)
     # Equal texts give one row for each anchor, that of the smallest id.
     anchors = C.staged(plain.mapInArrow(_anchors(length, gram), _ANCHOR).groupBy("g", "k1", "k2", "low", "high", "places", "n").agg(F.min("did").alias("did")), "anchors")
     # Written, so that the join deals both sides out anew and can split a gram that many texts have.
@@ -320,22 +365,22 @@ def removed(text: bytes, whole: bool | None, ranges: list | None, length: int =
     return b"".join(kept), sum(hi - lo + 1 for lo, hi in runs), len(runs)
 
 
-def _joined(docs: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
-    found = covered(docs, length, gram, group_rows).select(F.col("k1").alias("_sd_k1"), F.col("k2").alias("_sd_k2"), F.col("whole").alias("_sd_whole"), F.col("ranges").alias("_sd_ranges"))
-    return _with_keys(docs).join(found, ["_sd_k1", "_sd_k2"], "left")
-
-
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = C.binary(b.column("text"))
-            got = [removed(t, w, r, length) for t, w, r in zip(texts, b.column("_sd_whole").to_pylist(), b.column("_sd_ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got])), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            got = [removed(t, w, r, length) for t, w, r in zip(texts, b.column("whole").to_pylist(), b.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got])), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string()), b.column("n_passages")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
-    plain = docs.select(F.col("doc_id").cast("long"), C.text_col().alias("text"))
-    return _joined(plain, length, gram, group_rows).select("doc_id", "text", "_sd_whole", "_sd_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(), C.text_col().alias("text"))
+    found = covered(docs, length, gram, group_rows).withColumn("n_passages", F.lit(0).cast("long"))
+    also = passages(docs).select("k1", "k2", F.lit(None).cast(found.schema["whole"].dataType).alias("whole"), F.lit(None).cast(found.schema["ranges"].dataType).alias("ranges"), "n_passages")
+    # One row for each text, so that the texts themselves are dealt out once.
+    both = found.unionByName(also).groupBy("k1", "k2").agg(F.max("whole").alias("whole"), F.first("ranges", ignorenulls=True).alias("ranges"), F.max("n_passages").alias("n_passages"))
+    joined = plain.join(both, ["k1", "k2"], "left").select("doc_id", "text", "whole", "ranges", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"))
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
 def apply(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -346,6 +391,7 @@ def apply(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: i
         out = [None if w is None else removed(t.encode(), w, list(r), length)[0].decode("utf-8", "ignore") for t, w, r in zip(text, whole, ranges, strict=True)]
         return type(text)(out, index=text.index)
 
-    out = _joined(docs, length, gram, group_rows)
-    lost = F.col("_sd_whole").isNotNull()
-    return out.withColumn("text", F.when(lost, cut(C.text_col(), F.col("_sd_whole"), F.col("_sd_ranges"))).otherwise(F.col("text"))).select(*docs.columns)
+    k1, k2 = _keys()
+    marked = C.wrapped(docs, k1=k1, k2=k2, text=C.text_col()).join(covered(docs, length, gram, group_rows), ["k1", "k2"], "left")
+    text = F.when(F.col("whole").isNotNull(), cut(F.col("text"), F.col("whole"), F.col("ranges"))).otherwise(F.col("row").getField("text"))
+    return C.unwrapped(marked.select("row", text.alias("text")), docs, text=F.col("text"))
