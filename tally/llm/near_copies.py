@@ -8,6 +8,9 @@ bucket over CHUNK_SHINGLES is cut into chunks, and chunks are compared two at a
 groups over SMALL, pairs whose MinHash values agree too seldom (at 0.8 with probability
 under 1e-7) are not verified. Components come from rounds over the links.
 
+It is what near_dedup links documents by when it is given a threshold: 0.8 is the least one
+that the bands are made for.
+
 Defined cases: a text of one to four words has one shingle, all of them; texts without words
 are copies of each other; null ids, repeated rows, empty tables and other columns as in
 near_dedup.
@@ -23,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import near_dedup
 from .components import components
 from .decontaminate import _mix, shingle_hashes, word_hashes, words_of
 
@@ -110,28 +112,31 @@ def group_links(nodes: list[int], sets: list[np.ndarray], threshold: float = THR
     return links
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(threshold: float):
     """Over rows sorted by (band, a, b)."""
 
     def emit(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        found = group_links(nodes, sets)
+        found = group_links(nodes, sets, threshold)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    group, nodes, sets = None, [], []
-    for batch in batches:
-        keys = zip(*(batch.column(n).to_pylist() for n in ("band", "a", "b")), strict=True)
-        for key, node, data in zip(keys, batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-            if key != group:
-                if nodes:
-                    yield emit(nodes, sets)
-                group, nodes, sets = key, [], []
-            nodes.append(node)
-            sets.append(np.frombuffer(data, np.uint64))
-    if nodes:
-        yield emit(nodes, sets)
-
-
-def links(docs: DataFrame, rows: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(n).to_pylist() for n in ("band", "a", "b")), strict=True)
+            for key, node, data in zip(keys, batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if key != group:
+                    if nodes:
+                        yield emit(nodes, sets)
+                    group, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(data, np.uint64))
+        if nodes:
+            yield emit(nodes, sets)
+
+    return run
+
+
+def links(docs: DataFrame, rows: DataFrame, chunk_shingles: int = CHUNK_SHINGLES, threshold: float = THRESHOLD) -> DataFrame:
     """(u, v): verified links between the nodes of rows (_MARKED of docs), enough to connect all that are connected."""
     spark = docs.sparkSession
     one = C.staged(rows.groupBy("node").agg(F.min(F.struct("did", "key", "size", "bands")).alias("r")).select("node", "r.*"), "nodes")
@@ -148,19 +153,11 @@ def links(docs: DataFrame, rows: DataFrame, chunk_shingles: int = CHUNK_SHINGLES
     C.small_batches(spark)
     sets = C.staged(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
     dealt = members.join(sets, "node").repartition(C.partitions(spark), "band", "a", "b").sortWithinPartitions("band", "a", "b")
-    return C.staged(dealt.select("band", "a", "b", "node", "shingles").mapInArrow(_links, "u long, v long"), "links")
+    return C.staged(dealt.select("band", "a", "b", "node", "shingles").mapInArrow(_links(threshold), "u long, v long"), "links")
 
 
-def classes(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """(did, key, doc_id, component_id) of every row of docs."""
+def classes(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES, threshold: float = THRESHOLD) -> DataFrame:
+    """(did, key, doc_id, root) of every row of docs; root names a set of the component."""
     rows = C.staged(marked(docs), "marked")
-    roots = components(links(docs, rows, chunk_shingles)).select("node", "root")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(component, "root").select("node", "component_id"), "node").select("did", "key", "doc_id", "component_id")
-
-
-def apply(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """One row of docs for each component, as near_dedup.apply."""
-    return near_dedup.kept(docs, classes(docs.select("doc_id", "text"), chunk_shingles))
+    roots = components(links(docs, rows, chunk_shingles, threshold)).select("node", "root")
+    return rows.join(roots, "node", "left").select("did", "key", "doc_id", F.coalesce("root", "node").alias("root"))

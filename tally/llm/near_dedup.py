@@ -6,8 +6,8 @@ pairs of blocks name. In a bucket a pivot distance table (Hamming distances to r
 fingerprints) discards pairs: by the triangle inequality a pair within three bits differs
 by at most three in every coordinate. Survivors are verified on the fingerprints. A bucket
 gives one link for each member beyond a component's first, never all pairs; a bucket over
-BUCKET_ROWS members is cut into chunks, and chunks are compared two at a time. Components
-come from rounds over the links.
+BUCKET_ROWS members is cut into chunks before it is dealt out, and chunks are compared two
+at a time, each two in a group of their own. Components come from rounds over the links.
 
 Defined cases: null or empty texts have fingerprint zero and are linked like any other; a
 null doc_id is never a component's id, unless no other id is reachable; repeated rows come
@@ -17,7 +17,7 @@ or passed on by ``apply``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import near_copies
 from .components import components
 
 SHINGLE = 3
@@ -132,32 +133,23 @@ def _small_buckets(fps: np.ndarray, run: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), int)
 
 
-_LINK = "kind int, bucket int, part long, u long, v long"
-_LINK_PA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-_OVER = 1
+_GROUP = ["bucket", "part", "a", "b"]
 _SMALL = 24
 
 
-def _links_of(bucket_rows: int):
-    """Over rows sorted by (bucket, part, fp): links (kind 0); members of buckets over bucket_rows with their chunk as v (kind 1)."""
+def _links_of() -> Callable:
+    """Links over rows sorted by (bucket, part, a, b, fp), a run of equal ones being a group."""
 
-    def emit(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINK_PA, strict=True)], schema=_LINK_PA)
-
-    def settle(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def settle(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         """Whole runs."""
         new = np.ones(len(fps), bool)
         new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         run = np.cumsum(new) - 1
         sizes = np.bincount(run)
-        few = sizes[run] <= _SMALL
-        some = few & (sizes[run] > 1)
+        some = (sizes[run] <= _SMALL) & (sizes[run] > 1)
         rows = []
         if some.any():
             f, r = fps[some], run[some]
-            pairs = _small_buckets(f, r, _SMALL)
-            met: set[tuple[int, int]] = set()
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -165,41 +157,29 @@ def _links_of(bucket_rows: int):
                     parent[x] = x = parent.get(parent[x], parent[x])
                 return x
 
-            for i, j in pairs.tolist():
+            for i, j in _small_buckets(f, r, _SMALL).tolist():
                 if (a := root(i)) != (b := root(j)):
                     parent[b] = a
-                    met.add((i, j))
-            rows += [(0, 0, 0, int(f[i]), int(f[j])) for i, j in met]
+                    rows.append((int(f[i]), int(f[j])))
         starts = np.flatnonzero(new)
         for k in np.flatnonzero(sizes > _SMALL):
-            rows += [(0, 0, 0, u, v) for u, v in bucket_links(fps[starts[k] : starts[k] + sizes[k]])]
-        return [(k, b, p, _signed(u), _signed(v)) for k, b, p, u, v in rows]
+            rows += bucket_links(fps[starts[k] : starts[k] + sizes[k]])
+        columns = zip(*((_signed(u), _signed(v)) for u, v in rows), strict=True) if rows else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        chunk, chunk_key = 0, None
+        keys, fps = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.concatenate((keys, np.stack((b.column("bucket").to_numpy().astype(np.int64), b.column("part").to_numpy()), 1)))
+            keys = np.concatenate((keys, np.stack([b.column(n).to_numpy().astype(np.int64) for n in _GROUP], 1)))
             fps = np.concatenate((fps, b.column("fp").to_numpy().view(np.uint64)))
-            tail = len(fps) - int(np.argmin((keys[::-1] == keys[-1]).all(axis=1))) if (keys != keys[-1]).any() else 0
-            if chunk_key is not None and tail:  # the oversized bucket has ended: its last chunk
-                end = int(np.argmin((keys == np.array(chunk_key)).all(axis=1)))
-                yield emit(over(chunk_key, chunk, fps[:end]))
-                keys, fps, tail, chunk, chunk_key = keys[end:], fps[end:], tail - end, 0, None
-            if tail:
-                yield emit(settle(keys[:tail], fps[:tail]))
+            if (keys != keys[-1]).any():
+                tail = len(fps) - int(np.argmin((keys[::-1] == keys[-1]).all(axis=1)))
+                yield settle(keys[:tail], fps[:tail])
                 keys, fps = keys[tail:], fps[tail:]
-            while len(fps) > bucket_rows:
-                chunk_key = tuple(keys[0].tolist())
-                yield emit(over(chunk_key, chunk, fps[:bucket_rows]))
-                keys, fps, chunk = keys[bucket_rows:], fps[bucket_rows:], chunk + 1
         if len(fps):
-            yield emit(over(chunk_key, chunk, fps) if chunk_key is not None else settle(keys, fps))
-
-    def over(key: tuple[int, int], chunk: int, fps: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        return [(0, 0, 0, _signed(u), _signed(v)) for u, v in bucket_links(fps)] + [(_OVER, *key, _signed(int(x)), chunk) for x in fps]
+            yield settle(keys, fps)
 
     return run
 
@@ -207,41 +187,32 @@ def _links_of(bucket_rows: int):
 def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v): links between the fingerprints of distinct (fp long), enough to connect all that are connected."""
     spark = distinct.sparkSession
+    distinct = C.staged(distinct.select("fp"), "distinct")
     masks = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(MASKS)))
     rows = distinct.select("fp", F.explode(masks).alias("m")).select(F.col("m.bucket").alias("bucket"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("part"), "fp")
-    dealt = rows.repartition(C.partitions(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "fp")
-    found = C.staged(dealt.mapInArrow(_links_of(bucket_rows), _LINK), "links")
-    near = found.filter("kind = 0").select("u", "v")
-    over = found.filter(F.col("kind") == _OVER)
-    if over.limit(1).count():
-        near = near.unionByName(C.staged(_between_chunks(over), "links"))
-    return near
-
-
-def _between_chunks(over: DataFrame) -> DataFrame:
-    """Links between the chunks of oversized buckets: each two chunks meet in a group of their own."""
-    counts = over.groupBy("bucket", "part").agg(F.max("v").alias("last"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    rows = over.join(counts, ["bucket", "part"]).select("bucket", "part", "u", "v", other).filter(F.col("other") != F.col("v"))
-    pairs = rows.select("bucket", "part", "u", F.least("v", "other").alias("a"), F.greatest("v", "other").alias("b"))
-
-    def meet(key, rows):
-        import pandas as pd
-
-        fps = rows["u"].to_numpy().view(np.uint64)
-        return pd.DataFrame([(_signed(u), _signed(v)) for u, v in bucket_links(np.sort(fps))], columns=["u", "v"], dtype="int64")
-
-    return pairs.groupBy("bucket", "part", "a", "b").applyInPandas(meet, "u long, v long")
+    # At most one in bucket_rows of the rows: buckets that no task should get as a whole.
+    big = C.staged(rows.groupBy("bucket", "part").count().filter(F.col("count") > bucket_rows).select("bucket", "part", F.ceil(F.col("count") / bucket_rows).alias("chunks")), "buckets")
+    if big.limit(1).count():
+        chunks = F.coalesce("chunks", F.lit(1))
+        marked = rows.join(big, ["bucket", "part"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), chunks))
+        # Of a big bucket each two chunks meet in a group; a chunk's own rows meet there as well.
+        others = F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda x: (x != F.col("own")) | (chunks == 1))
+        each = marked.withColumn("other", F.explode(others))
+        rows = each.select("bucket", "part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    else:
+        rows = rows.select("bucket", "part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
+    dealt = rows.repartition(C.partitions(spark), *_GROUP).sortWithinPartitions(*_GROUP, "fp")
+    return C.staged(dealt.mapInArrow(_links_of(), "u long, v long"), "links")
 
 
 def classes(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(did, key, doc_id, fp, component_id) of every row of docs."""
+    """(did, key, doc_id, fp, root, component_id) of every row of docs; root is a fingerprint of the component."""
     marked = C.staged(fingerprints(docs), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), bucket_rows)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
+    of_fp = rooted.join(least, "root").select("fp", "root", "component_id")
     return marked.join(of_fp, "fp")
 
 
@@ -250,13 +221,29 @@ def report(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return classes(docs, bucket_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def apply(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, of the smallest text key among repeated ids."""
-    return kept(docs, classes(docs.select("doc_id", "text"), bucket_rows))
+def wide_classes(docs: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(did, key, component_id) of every row of docs, linked by fingerprints or by five-word shingles in common.
+
+    Documents that share threshold of their shingles are too many bits apart for a radius that
+    tells fingerprints apart, so those links come from the shingle sets themselves. Both kinds
+    of classes are joined where they share a document.
+    """
+    near = classes(docs, bucket_rows).select("did", "key", "doc_id", F.xxhash64(F.lit("fingerprint"), "root").alias("u"))
+    alike = near_copies.classes(docs, threshold=threshold).select("did", "key", F.xxhash64(F.lit("shingles"), "root").alias("v")).distinct()
+    both = C.staged(near.join(alike, ["did", "key"]), "classes")
+    roots = components(both.select("u", "v").distinct()).select(F.col("node").alias("u"), "root")
+    rooted = both.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("did", "key", "component_id")
+
 
+def apply(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, threshold: float | None = None) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id, of the smallest text key among repeated ids.
 
-def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that apply() keeps, by the (did, key, component_id) of found."""
-    keep = found.filter(F.col("did") == F.coalesce("component_id", F.lit(C.NO_ID))).groupBy("component_id").agg(F.min(F.struct("did", "key")).alias("k")).select(F.col("k.did").alias("_nd_did"), F.col("k.key").alias("_nd_key"))
-    marked = docs.withColumns({"_nd_did": C.id_col(), "_nd_key": C.text_key()})
-    return marked.join(keep, ["_nd_did", "_nd_key"]).dropDuplicates(["_nd_did", "_nd_key"]).select(*docs.columns)
+    With a threshold, five-word shingle sets of at least that Jaccard similarity are linked as well.
+    """
+    plain = docs.select("doc_id", "text")
+    found = classes(plain, bucket_rows) if threshold is None else wide_classes(plain, threshold, bucket_rows)
+    keep = found.filter(F.col("did") == F.coalesce("component_id", F.lit(C.NO_ID))).groupBy("component_id").agg(F.min(F.struct("did", "key")).alias("k")).select("k.did", "k.key")
+    marked = C.wrapped(docs, did=C.id_col(), key=C.text_key())
+    return C.unwrapped(marked.join(keep, ["did", "key"]).dropDuplicates(["did", "key"]), docs)
