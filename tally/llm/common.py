@@ -83,6 +83,20 @@ def keyed(df: DataFrame, *more: str) -> DataFrame:
     return df.select(id_col().alias("did"), text_key().alias("key"), text_col().alias("text"), *more)
 
 
+def wrapped(docs: DataFrame, **marks: Column) -> DataFrame:
+    """Every column of docs inside one, row, beside the marks, so that no name of a mark clashes with one of docs."""
+    return docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in marks.items()))
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of docs again, of a frame with their row; some with other values."""
+    return df.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -123,10 +123,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs with _ld_keep, null where every line stays."""
-    marked = docs.withColumns({"_ld_did": C.id_col(), "_ld_key": C.text_key()})
-    maps = keep_bitmaps(docs, min_chars).select(F.col("did").alias("_ld_did"), F.col("key").alias("_ld_key"), F.col("keep_bitmap").alias("_ld_keep"))
-    return marked.join(maps, ["_ld_did", "_ld_key"], "left").drop("_ld_did", "_ld_key")
+    """(row, text, keep) of every row of docs; keep is null where every line stays."""
+    marked = C.wrapped(docs, did=C.id_col(), key=C.text_key(), text=C.text_col())
+    maps = keep_bitmaps(docs, min_chars).select("did", "key", F.col("keep_bitmap").alias("keep"))
+    return marked.join(maps, ["did", "key"], "left").select("row", "text", "keep")
 
 
 def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
@@ -143,11 +143,11 @@ def digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [kept_text(t, m) for t, m in zip(C.binary(b.column("text")), b.column("_ld_keep").to_pylist(), strict=True)]
+            got = [kept_text(t, m) for t, m in zip(C.binary(b.column("text")), b.column("keep").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in got], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long"), C.text_col().alias("text"))
-    return _with_bitmaps(plain, min_chars).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(plain, min_chars).select("row.doc_id", "text", "keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def apply(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -157,11 +157,9 @@ def apply(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def cut(text, keep):
         return text.where(keep.isna(), [x if k is None else kept_text(x.encode(), k)[0].decode() for x, k in zip(text, keep, strict=True)])
 
-    lost = F.col("_ld_keep").isNotNull()
-    out = _with_bitmaps(docs, min_chars).withColumn("text", F.when(lost, cut(C.text_col(), F.col("_ld_keep"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    lost = F.col("keep").isNotNull()
+    found = _with_bitmaps(docs, min_chars).select("row", "keep", F.when(lost, cut(F.col("text"), F.col("keep"))).otherwise(F.col("row.text")).alias("text"))
+    return C.unwrapped(found, docs, text=F.col("text"), n_chars=F.when(lost, F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None)
 
 
 #: digests() in DuckDB's SQL.

@@ -78,6 +78,32 @@ def shingles(text, size=5):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+def linked(sets, threshold=0.8):
+    """Pairs of at least that similarity, found by shared shingles; sets without shingles are alike."""
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((i, j) for own in holders.values() for k, j in enumerate(own) for i in own[:k])
+    return [(i, j) for (i, j), n in shared.items() if not sets[i] and not sets[j] or n >= threshold * (len(sets[i]) + len(sets[j]) - n)]
+
+
+def roots(pairs, n):
+    """Index of the first member of each one's component."""
+    root = list(range(n))
+    for i, j in sorted(pairs) * 2:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    return root
+
+
+def groups(texts):
+    """Index of the first member of each one's component, linking by fingerprints and by five-word shingles."""
+    fps = [fingerprint(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    return roots(near + linked([shingles(t) for t in texts]), len(texts))
+
+
 def contained(rows, items, threshold=0.8):
     out = []
     for d, t in rows:
@@ -118,6 +144,13 @@ def repeats(rows, length=400):
     return out
 
 
+def passages(rows, n):
+    """(doc, words) of every row that shares n words in a row with another row."""
+    own = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (WORD.findall(t or "") for _, t in rows)]
+    holders = Counter(p for s in own for p in s)
+    return [r for r, s in zip(rows, own) if any(holders[p] > 1 for p in s)]
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
@@ -152,6 +185,6 @@ def mix(rows, seed="mix"):
         sure = int(target[s] / total[s]) if total[s] else 0
         want, ahead = target[s] - sure * total[s], 0
         for i in sorted(own, key=lambda i: (draw(i), NO_ID if rows[i][0] is None else rows[i][0], size[i])):
-            copies[i] = sure + (ahead + size[i] / 2 <= want)
+            copies[i] = sure + (want > 0 and ahead + size[i] / 2 <= want)
             ahead += size[i]
     return [(r[0], n, total[r[2]], target[r[2]], c) for r, n, c in zip(rows, size, copies)]

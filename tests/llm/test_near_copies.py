@@ -8,29 +8,7 @@ import numpy as np
 import pytest
 
 from tally.llm import common as C
-from tally.llm import near_copies
-
-
-def linked(sets, threshold=0.8):
-    """Pairs of at least that similarity, found by shared shingles; sets without shingles are alike."""
-    holders = {}
-    for i, s in enumerate(sets):
-        for x in s or [None]:
-            holders.setdefault(x, []).append(i)
-    shared = {}
-    for own in holders.values():
-        for k, j in enumerate(own):
-            for i in own[:k]:
-                shared[i, j] = shared.get((i, j), 0) + 1
-    return [(i, j) for (i, j), n in shared.items() if not sets[i] and not sets[j] or n >= threshold * (len(sets[i]) + len(sets[j]) - n)]
-
-
-def roots(sets):
-    root = list(range(len(sets)))
-    for i, j in sorted(linked(sets)) * 2:
-        a, b = sorted((root[i], root[j]))
-        root = [a if r == b else r for r in root]
-    return root
+from tally.llm import near_copies, near_dedup
 
 
 def changed(words, n, rng):
@@ -51,9 +29,14 @@ def test_near_copies(docs_of, chunk):
     texts += [" ".join(changed(words, n % 4, rng)) for n in range(60)]
     rng.shuffle(texts)
     rows = [(i, t) for i, t in enumerate(texts)]
-    want = roots([brute.shingles(t) for t in texts])
-    got = near_copies.apply(docs_of(rows), chunk)
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+    want = brute.roots(brute.linked([brute.shingles(t) for t in texts]), len(texts))
+    classes = {}
+    for r in near_copies.classes(docs_of(rows), chunk).collect():
+        classes.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(min, classes.values())) == sorted(set(want))
+    both = brute.groups(texts)
+    got = near_dedup.apply(docs_of(rows), threshold=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(both))
     assert got.columns == docs_of(rows).columns
 
 
@@ -68,19 +51,33 @@ def test_group_of_unlike_and_like_sets():
 
 
 def test_pipeline_leaves_no_near_copies(spark, docs_of):
-    """SimHash at three bits leaves some of these; what follows it takes them."""
+    """Fingerprints at three bits leave some of these; the stage takes them."""
     rng = random.Random(6)
     rows = []
     for _ in range(30):
         words = [f"w{rng.randrange(5000)}" for _ in range(120)]
         rows += [(len(rows) + k, " ".join(changed(words, k, rng))) for k in range(3)]
-    docs, left = docs_of(rows), {}
-    for name, stage in corpus_pipeline.STAGES[2:]:
-        if name == "decontamination":
-            break
-        docs = C.staged(stage(spark, docs, "/root/testdata/sf0.001"), "test")
-        left[name] = sorted((r.doc_id, r.text) for r in docs.collect())
-    assert linked([brute.shingles(t) for _, t in left["near dedup"]])
-    last = list(left.values())[-1]
-    assert not linked([brute.shingles(t) for _, t in last])
+    docs = docs_of(rows)
+    assert brute.linked([brute.shingles(r.text) for r in near_dedup.apply(docs).collect()])
+    last = sorted((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "/root/testdata/sf0.001").collect())
+    assert not brute.linked([brute.shingles(t) for _, t in last])
     assert [d for d, _ in last] == list(range(0, 90, 3))
+
+
+def test_two_kinds_of_links_join_up(docs_of):
+    """The first and the second are linked by shingles, the second and the third by fingerprints alone."""
+    rng = random.Random(1)
+    for _ in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        texts = [" ".join(words)]
+        texts += [" ".join(changed(words, 1, rng))]
+        texts += [" ".join(changed(texts[1].split(), 3, rng))]
+        sets, fps = [brute.shingles(t) for t in texts], [brute.fingerprint(t) for t in texts]
+        bits = lambda i, j: (fps[i] ^ fps[j]).bit_count()
+        if (0, 1) in brute.linked(sets) and bits(0, 1) > 3 and bits(1, 2) <= 3 and bits(0, 2) > 3 and not {(1, 2), (0, 2)} & set(brute.linked(sets)):
+            break
+    else:
+        texts = None
+    if texts is None:
+        pytest.skip("no such texts drawn")
+    assert [r.doc_id for r in near_dedup.apply(docs_of(list(enumerate(texts))), threshold=0.8).collect()] == [0]

@@ -77,7 +77,7 @@ def test_lines(stages):
 def test_near_duplicates(stages):
     before, after = stages[1]["near dedup"]
     rows = sorted(before, key=lambda r: r["doc_id"])
-    roots = brute.components([brute.fingerprint(r["text"]) for r in rows])
+    roots = brute.groups([r["text"] for r in rows])
     assert ids(after) == [r["doc_id"] for i, r in enumerate(rows) if roots[i] == i]
 
 
@@ -100,9 +100,10 @@ def test_run_and_edge_rows(spark, stages, tmp_path):
     sf, out = stages
     last = Counter((r["doc_id"], r["n_copies"]) for r in out["mixing"][1])
     assert Counter((r.doc_id, r.n_copies) for r in corpus_pipeline.run(spark, sf).collect()) == last
-    odd = C.documents(spark, sf).limit(60).selectExpr("*", "'x' AS did", "1 AS key", "'y' AS _ld_keep2", "2 AS n_copies")
-    nulls = odd.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars", "did", "key", "_ld_keep2", "n_copies").limit(2)
+    odd = C.documents(spark, sf).limit(60).selectExpr("*", "'x' AS did", "1 AS key", "'y' AS keep", "2 AS n_copies", "3 AS row", "4 AS u", "5 AS size", "6 AS `a.b`", "7 AS _nd_did", "8 AS _mx_copies")
+    nulls = odd.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars", "did", "key", "keep", "n_copies", "row", "u", "size", "`a.b`", "_nd_did", "_mx_copies").limit(2)
     for docs in (odd.unionByName(nulls).unionByName(odd.limit(5)), odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             docs = C.staged(stage(spark, docs, sf), "odd")
             assert set(odd.columns) <= set(docs.columns)
+            assert not docs.filter("did <> 'x' OR key <> 1 OR keep <> 'y' OR row <> 3 OR u <> 4 OR size <> 5 OR `a.b` <> 6 OR _nd_did <> 7 OR _mx_copies <> 8").count()

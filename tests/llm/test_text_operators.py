@@ -6,7 +6,7 @@ import brute
 import pytest
 
 from tally.llm import common as C
-from tally.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, registry, secret_scan, url_rules
+from tally.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, registry, secret_scan, suffix_dedup, url_rules
 
 LINE = "A line that several documents hold"
 ROWS = [
@@ -128,6 +128,27 @@ def test_near_dedup(docs_of, bucket_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(ids.values())
 
 
+def test_names_that_operators_use_inside(docs_of):
+    """Columns of any name pass through, and an id as large as there can be is an id."""
+    rows = [(2**63 - 1, "The last of the documents there can be, token=abcdefghij"), (1, "words " * 60), (1, "words " * 60), (None, None)]
+    docs = docs_of(rows).selectExpr("doc_id", "text", "source", "n_chars", "7 AS row", "8 AS did", "9 AS k1", "10 AS `key`", "11 AS whole", "12 AS ranges", "13 AS `x.y`", "14 AS _sd_k1")
+    more = docs.columns[docs.columns.index("row") :]
+    for out in (line_dedup.apply(docs), near_dedup.apply(docs), near_dedup.apply(docs, threshold=0.8), mixing.apply(docs), suffix_dedup.apply(docs)):
+        got = out.select(*(f"`{c}`" for c in more)).distinct().collect()
+        assert [tuple(r) for r in got] == [(7, 8, 9, 10, 11, 12, 13, 14)]
+    for out in (mixing.report(docs), secret_scan.report(docs), near_dedup.report(docs), line_dedup.digests(docs), suffix_dedup.report(docs)):
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((d for d, _ in rows), key=str)
+
+
+def test_mixing_gives_no_more_copies_than_the_cap(docs_of):
+    rows = [(i, t, s) for i, (t, s) in enumerate([("a b c", "small"), ("", "small"), ("", "none"), (None, "none"), ("w " * 500, "big"), ("w " * 500, "big")])]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.n_copies for r in mixing.apply(docs).collect()}
+    assert max(got.values()) <= mixing.MAX_COPIES and not {2, 3} & set(got)
+    want = {d: c for d, *_, c in brute.mix(rows) if c}
+    assert got == want
+
+
 def test_links_in_dense_and_oversized_buckets(spark):
     import numpy as np
 
@@ -306,6 +327,43 @@ def test_mined_url_rules_fire(spark):
     assert got == {i: "block" if i % 4 == 0 else "allow" for i in range(400)}
 
 
+def plain_rules(baskets, least, confidence, lift):
+    """{(tokens, verdict): (confidence, support)} by counting every combination."""
+    from collections import Counter
+    from itertools import combinations
+
+    whole, with_label, labels = Counter(), Counter(), Counter(v for _, v in baskets)
+    for tokens, verdict in baskets:
+        for n in range(len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                whole[c] += 1
+                with_label[c, verdict] += 1
+    found = {}
+    for (c, verdict), n in with_label.items():
+        if c and n >= least and n / whole[c] >= confidence and (verdict == "allow" or n / whole[c] / (labels[verdict] / len(baskets)) >= lift):
+            found[c, verdict] = n / whole[c], n / len(baskets)
+    surer = lambda c, v: all(found[c, v][0] > found.get((c[:i] + c[i + 1 :], v), (0,))[0] for i in range(len(c)))
+    return {k: x for k, x in found.items() if surer(*k)}
+
+
+def test_mined_rules_against_every_combination(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))})
+        bad = 0.9 if {"a", "b"} <= set(tokens) else 0.6 if "c" in tokens else 0.15
+        rows.append((tokens, "block" if rng.random() < bad else "allow"))
+    labelled = spark.createDataFrame(rows + [(["a"], None)], "tokens array<string>, verdict string")
+    want = plain_rules(rows, 20, url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT)
+    mined = url_rules.mine(labelled)
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in mined.collect()}
+    assert set(got) == set(want) and {v for _, v in want} == {"allow", "block"}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    pages = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(rows)], "url string, tokens array<string>")
+    best = {str(i): max(((x[0], v) for (c, v), x in want.items() if set(c) <= set(t)), default=None) for i, (t, _) in enumerate(rows)}
+    assert {r.url: r.method for r in url_rules.fired(pages, mined).collect()} == {u: b[1] for u, b in best.items() if b}
+
+
 def test_each_dealt_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
     assert numbers == list(range(1, 11))
