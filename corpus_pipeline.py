@@ -1,10 +1,10 @@
-"""The corpus pipeline: six stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tally.llm import common, decontaminate, line_dedup, mixing, near_copies, near_dedup, quality_rules
+from tally.llm import common, decontaminate, line_dedup, mixing, near_dedup, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +19,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return near_dedup.apply(docs)
-
-
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same for documents that share at least 0.8 of their five-word shingles, most of which SimHash at three bits leaves."""
-    return near_copies.apply(docs)
+    """One document of each group of near copies stays, that of the smallest doc_id: fingerprints within three bits, or 0.8 of the five-word shingles in common."""
+    return near_dedup.apply(docs, threshold=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near_duplicates), ("near copies", copies), ("decontamination", benchmark), ("mixing", mix)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near_duplicates), ("decontamination", benchmark), ("mixing", mix)]
 
 #: Boosted trees have no SQL form; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
