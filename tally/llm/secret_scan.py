@@ -24,24 +24,30 @@ from .trigrams import Query, query
 
 @dataclass(frozen=True)
 class Rule:
-    """A match counts if its group `group` has at least `least` characters."""
+    """A match counts if its group `group` has at least `least` characters.
+
+    Where the matches that count have an expression of their own, it is `scan`: it spares
+    the many that don't.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     fold_case: bool = False
+    scan: str = ""
 
     def trigrams(self) -> Query:
         return query(self.pattern)
 
     def java(self) -> str:
-        return ("(?i)" if self.fold_case else "") + self.pattern
+        return ("(?i)" if self.fold_case else "") + (self.scan or self.pattern)
 
 
 ASSIGN = Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=8, fold_case=True)
-ACCESS = Rule("access", r"AKIA[A-Z0-9]+", least=16)
-HEX = Rule("hex", r"[0-9a-f]+", least=32)
+# A run that is too short has no long enough part, so these two find the same spans.
+ACCESS = Rule("access", r"AKIA[A-Z0-9]+", least=16, scan=r"AKIA[A-Z0-9]{12,}")
+HEX = Rule("hex", r"[0-9a-f]+", least=32, scan=r"[0-9a-f]{32,}")
 BASE = (ASSIGN, ACCESS, HEX)
 #: Public formats of keys and tokens.
 MORE = (
@@ -95,7 +101,9 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     due = [F.struct(F.lit(i).alias("rule"), F.when(F.lit(i in scan) | F.coalesce(F.array_contains("rules", i), F.lit(False)), _pieces(text, r)).alias("pieces")) for i, r in enumerate(rules)]
     cut = rows.select("doc_id", "did", "key", "copy", F.filter(F.array(*due), lambda x: F.size(x["pieces"]) > 1).alias("found"))
     per_rule = cut.select("doc_id", "did", "key", "copy", F.explode_outer("found").alias("f"))
-    per_piece = per_rule.select("doc_id", "did", "key", "copy", F.col("f.rule").alias("rule"), F.posexplode_outer("f.pieces").alias("at", "piece"))
+    # Columns of their own, so that a piece's row doesn't have all pieces with it.
+    per_rule = per_rule.select("doc_id", "did", "key", "copy", "f.rule", "f.pieces")
+    per_piece = per_rule.select("doc_id", "did", "key", "copy", "rule", F.posexplode_outer("pieces").alias("at", "piece"))
     # The first piece has no match; of the others, what stands before the mark is one.
     match = F.when(F.col("at") > 0, F.substring_index("piece", _CLOSE, 1))
     group = F.lit(None).cast("string")
@@ -127,7 +135,8 @@ def oracle_sql(rules: tuple[Rule, ...] = MORE) -> str:
     """report() in DuckDB's SQL: pieces between the matches and the matches themselves give the offsets."""
     every = BASE + tuple(rules)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    found = "\n  UNION ALL ".join(f"SELECT r, {i} AS rule, {quoted(x.kind)} AS kind, {x.least} AS least, string_split_regex(text, {quoted(x.java())}) AS pieces, regexp_extract_all(text, {quoted(x.java())}) AS matches, regexp_extract_all(text, {quoted(x.java())}, {x.group}) AS groups FROM d" for i, x in enumerate(every))
+    whole = lambda x: ("(?i)" if x.fold_case else "") + x.pattern
+    found = "\n  UNION ALL ".join(f"SELECT r, {i} AS rule, {quoted(x.kind)} AS kind, {x.least} AS least, string_split_regex(text, {quoted(whole(x))}) AS pieces, regexp_extract_all(text, {quoted(whole(x))}) AS matches, regexp_extract_all(text, {quoted(whole(x))}, {x.group}) AS groups FROM d" for i, x in enumerate(every))
     joined = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rule) FILTER (WHERE {where}), '')"
     counts = ", ".join(f"count(*) FILTER (WHERE rule = {i})::BIGINT AS n_{x.kind}" for i, x in enumerate(BASE))
     return f"""
