@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import text_hash
+
 
 def monotonic_violations(df: DataFrame, by: list[str], value: str, pos: str) -> DataFrame:
     """Rows whose value isn't above the one before it in its group."""
@@ -92,7 +94,12 @@ def after(a: Column, b: Column, x, y) -> Column:
 
 def sampled(df: DataFrame, key: str, seed: int, share: float) -> DataFrame:
     """A repeatable sample: keys whose hash falls into the share."""
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(F.pmod(text_hash(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def picked(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows at random, the same for a seed: those of the smallest hashes, as a bounded sort."""
+    return df.orderBy(text_hash(F.lit(seed), F.col(key)), key).limit(n)
 
 
 def timeline(events: DataFrame, base: str) -> DataFrame:

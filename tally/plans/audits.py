@@ -179,12 +179,13 @@ def family_digest(t: Tables) -> DataFrame:
     return reconcile.family_digest(X.accounts(t), X.orders(t), "customer", F.col("name"), "id", line)
 
 
-@query()
+@query(f"SELECT c_custkey AS id, ({X.crc32_sql('c_custkey::VARCHAR')} % 4)::INT AS shard FROM customer")
 def shard_crc(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), S.shard_crc(F.col("c_custkey"), 4).alias("shard"))
 
 
-@query()
+@query(f"""WITH {X.ORDERS}, x AS (SELECT ({X.crc32_sql("customer::VARCHAR")} % 4)::INT AS shard, concat_ws('#', id, customer, status, cents) AS line FROM o)
+SELECT shard, count(*) AS n, sum({X.crc32_sql("line")})::BIGINT AS print FROM x GROUP BY 1""")
 def crc_fingerprint(t: Tables) -> DataFrame:
     o = X.orders(t).withColumn("shard", S.shard_crc(F.col("customer"), 4))
     return reconcile.crc_fingerprint(o, ["shard"], ["id", "customer", "status", "cents"])

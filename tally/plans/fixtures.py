@@ -177,6 +177,14 @@ sp AS (SELECT *, CASE WHEN contains(name, ' ') THEN left(name, length(name) - le
 
 def clock(t: Tables) -> DataFrame:
     """(worker, pos, ts): readings of three clocks that stand still, run and now and then go back."""
-    e = events(t).filter("pos < 3000")
     p = F.col("pos")
-    return e.select(F.pmod(p, F.lit(3)).alias("worker"), F.floor(p / 3).alias("pos"), (F.lit(100) + F.floor(p / 12) - F.when(F.pmod(p, F.lit(300)) > 285, 5).otherwise(0)).alias("ts"))
+    return events(t).select(F.pmod(p, F.lit(3)).alias("worker"), F.floor(p / 3).alias("pos"), (F.lit(100) + F.floor(p / 12) - F.when(F.pmod(p, F.lit(300)) > 285, 5).otherwise(0)).alias("ts"))
+
+
+CLOCK = EVENTS + """, ck AS (SELECT pos % 3 AS worker, pos // 3 AS pos, 100 + pos // 12 - CASE WHEN pos % 300 > 285 THEN 5 ELSE 0 END AS ts FROM e)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, a bit at a time."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"

@@ -228,12 +228,25 @@ def _transfers(t: Tables) -> tuple[DataFrame, DataFrame]:
     return opening, ops
 
 
-@query()
+# Accounts of a group are a list by their last digit; one step of the recursion is one operation of every group.
+_OPS = """op AS (SELECT o_custkey // 10 AS grp, o_orderkey // 50 AS round, o_orderkey AS op, o_custkey AS src, o_custkey // 10 * 10 + (o_custkey + 1) % 10 AS dst, round(o_totalprice * 100)::BIGINT AS cents,
+  row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS i FROM orders),
+ac AS (SELECT grp, list_transform(range(10), lambda j: CASE WHEN list_contains(list(a), j) THEN 5000000::BIGINT ELSE 0 END) AS bal
+  FROM (SELECT c_custkey // 10 AS grp, c_custkey % 10 AS a FROM customer UNION ALL SELECT grp, NULL FROM op) GROUP BY grp)"""
+_FOLD = f"""{_OPS}, f AS (SELECT grp, 0::BIGINT AS i, bal, 0::BIGINT AS op, 0::BIGINT AS src, 0::BIGINT AS dst, 0::BIGINT AS cents, false AS ok FROM ac
+  UNION ALL SELECT f.grp, o.i, CASE WHEN f.bal[o.src % 10 + 1] >= o.cents THEN list_transform(f.bal, lambda x, j: x - CASE WHEN j = o.src % 10 + 1 THEN o.cents ELSE 0 END + CASE WHEN j = o.dst % 10 + 1 THEN o.cents ELSE 0 END) ELSE f.bal END,
+  o.op, o.src, o.dst, o.cents, f.bal[o.src % 10 + 1] >= o.cents FROM f JOIN op o ON o.grp = f.grp AND o.i = f.i + 1)"""
+_ROUNDS = f"""{_OPS}, f AS (SELECT grp, 0::BIGINT AS i, -1::BIGINT AS round, bal AS seen, bal FROM ac
+  UNION ALL SELECT grp, i, round, seen, CASE WHEN seen[src % 10 + 1] >= cents THEN list_transform(bal, lambda x, j: CASE WHEN j = dst % 10 + 1 THEN seen[dst % 10 + 1] + cents WHEN j = src % 10 + 1 THEN seen[src % 10 + 1] - cents ELSE x END) ELSE bal END
+  FROM (SELECT f.grp, o.i, o.round, o.src, o.dst, o.cents, f.bal, CASE WHEN o.round = f.round THEN f.seen ELSE f.bal END AS seen FROM f JOIN op o ON o.grp = f.grp AND o.i = f.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT grp, op, src, dst, cents, ok FROM f WHERE i > 0")
 def transfer_fold(t: Tables) -> DataFrame:
     return folds.transfers(*_transfers(t), "grp")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROUNDS} SELECT grp, (list_sum(arg_max(bal, i)) - list_sum(arg_min(bal, i)))::BIGINT AS drift FROM f WHERE grp IN (SELECT c_custkey // 10 FROM customer) GROUP BY grp""")
 def transfer_naive(t: Tables) -> DataFrame:
     """Money that the naive strategy makes or loses in each group."""
     opening, ops = _transfers(t)
@@ -241,14 +254,16 @@ def transfer_naive(t: Tables) -> DataFrame:
     return opening.groupBy("grp").agg(F.sum("cents").alias("b")).join(after, "grp").select("grp", (F.col("a") - F.col("b")).cast("long").alias("drift"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FOLD}, en AS (SELECT op, src AS account, -cents AS cents FROM f WHERE ok UNION ALL SELECT op, dst, cents FROM f WHERE ok)
+SELECT op, account, cents, row_number() OVER (PARTITION BY account ORDER BY op, cents)::INT AS seq, (sum(cents) OVER (PARTITION BY account ORDER BY op, cents ROWS UNBOUNDED PRECEDING))::BIGINT AS balance FROM en""")
 def transfer_ledger(t: Tables) -> DataFrame:
     from ..operators.sequences import running_balance
 
     return running_balance(folds.entries(folds.transfers(*_transfers(t), "grp")), "account", ["op", "cents"], "cents")
 
 
-@query("SELECT 'ledger' AS store, (SELECT count(*) * 5000000 FROM customer)::BIGINT AS total, 0::BIGINT AS negatives, true AS ok")
+@query(f"""WITH RECURSIVE {_FOLD}, la AS (SELECT unnest(arg_max(bal, i)) AS cents FROM f GROUP BY grp)
+SELECT 'ledger' AS store, sum(cents)::BIGINT AS total, count(*) FILTER (WHERE cents < 0) AS negatives, sum(cents) = (SELECT count(*) * 5000000 FROM customer) AND count(*) FILTER (WHERE cents < 0) = 0 AS ok FROM la""")
 def transfer_conserved(t: Tables) -> DataFrame:
     """The fold's balances sum to what there was, and none is below zero."""
     opening, ops = _transfers(t)

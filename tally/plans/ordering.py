@@ -111,7 +111,11 @@ def prefix_filter(t: Tables) -> DataFrame:
     return t.part.filter(F.col("p_type").startswith("S")).select("p_partkey")
 
 
-@query()
+_DRAW = "('0x' || substr(md5(concat_ws('#', {seed}, id)), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {X.ORDERS}, {X.TARGET}, s AS (SELECT * FROM o WHERE {_DRAW.format(seed=7)} % 1000000 < 200000)
+SELECT s.id, CASE WHEN tg.id IS NULL THEN 'missing' ELSE 'stale' END AS class FROM s LEFT JOIN tg USING (id) WHERE tg.id IS NULL OR s.status IS DISTINCT FROM tg.status OR s.cents IS DISTINCT FROM tg.cents""")
 def sample_compare(t: Tables) -> DataFrame:
     """A seeded sample of ids whose rows differ on the other side."""
     from ..operators.reconcile import classified
@@ -120,6 +124,11 @@ def sample_compare(t: Tables) -> DataFrame:
     return classified(sample, X.target(t).join(sample.select("id"), "id", "left_semi"), "id", ["status", "cents"])
 
 
+@query(f"WITH {X.ORDERS} SELECT id, customer FROM o ORDER BY {_DRAW.format(seed=11)}, id LIMIT 25")
+def random_pick(t: Tables) -> DataFrame:
+    return sequences.picked(X.orders(t).select("id", "customer"), "id", 11, 25)
+
+
 # --- interval sets ---
 
 _SETS = "b AS (SELECT o_custkey % 5 AS node, 'u' || o_custkey % 3 AS uuid, o_orderkey AS x FROM orders)"
@@ -179,13 +188,21 @@ def id_decode(t: Tables) -> DataFrame:
     return _packed(t).select("pos", *[c.alias(n) for n, c in S.unpacked_id(F.col("id")).items()])
 
 
-@query()
+_ISSUED = f"""{X.CLOCK}, rn AS (SELECT *, CASE WHEN ts = lag(ts) OVER (PARTITION BY worker ORDER BY pos) THEN 0 ELSE 1 END AS new, max(ts) OVER (PARTITION BY worker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ck)"""
+
+
+@query(f"""WITH {_ISSUED}, gr AS (SELECT worker, pos, ts, sum(new) OVER (PARTITION BY worker ORDER BY pos) AS run FROM rn),
+sq AS (SELECT worker, ts, (row_number() OVER (PARTITION BY worker, run ORDER BY pos) - 1) & 4095 AS seq FROM gr)
+SELECT worker, count(*) AS ids, count(*) - count(DISTINCT (ts << 22) | (worker << 12) | seq) AS duplicates FROM sq GROUP BY 1""")
 def id_naive(t: Tables) -> DataFrame:
     issued = folds.generated_ids(X.clock(t), "worker", "naive")
     return issued.groupBy("worker").agg(F.count("*").alias("ids"), (F.count("*") - F.count_distinct("id")).alias("duplicates"))
 
 
-@query()
+@query(f"""WITH {_ISSUED}, st AS (SELECT *, sum(CASE WHEN ts < top THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY pos) AS behind FROM rn),
+g AS (SELECT 'error' AS policy, worker, pos, ts FROM st WHERE behind = 0 UNION ALL SELECT 'wait', worker, pos, ts FROM st WHERE ts >= coalesce(top, ts) UNION ALL SELECT 'hold', worker, pos, greatest(ts, top) FROM st),
+sq AS (SELECT *, row_number() OVER (PARTITION BY policy, worker, ts ORDER BY pos) - 1 AS seq FROM g)
+SELECT worker, count(*) AS ids, count(*) - count(DISTINCT (ts << 22) | (worker << 12) | seq) AS duplicates, policy FROM sq GROUP BY worker, policy""")
 def id_policies(t: Tables) -> DataFrame:
     parts = [folds.generated_ids(X.clock(t), "worker", p).groupBy("worker").agg(F.count("*").alias("ids"), (F.count("*") - F.count_distinct("id")).alias("duplicates")).withColumn("policy", F.lit(p)) for p in ("error", "wait", "hold")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -1,8 +1,8 @@
-"""Streams whose effects happen once: dedupe, quarantine and state in versioned tables.
+"""Streams whose effects happen once: dedupe, quarantine and state in tables that grow by batch.
 
-Each batch writes the ledger of seen events and the balances as one new version and flips
-the pointer last. Offsets are committed after that, so a crash in between repeats a batch,
-and the version's batch number tells that it is already in.
+Each batch writes what it adds, the ids it saw first and the sums it makes, to folders of its
+own and lets them count last. Offsets are committed after that, so a crash in between repeats
+a batch: it is skipped if it counts already, and replaces its own folders if not.
 """
 
 from __future__ import annotations
@@ -16,48 +16,44 @@ from pyspark.sql.types import StructType
 
 from ..operators import events as E
 from ..operators.sequences import first_of
-from ..sources.journals import Versions, append_jsonl, stream
+from ..sources.journals import Deltas, stream
 
 
 class IdempotentLedger:
     """Balances by account from deliveries of (event_id, account_id, amount)."""
 
     def __init__(self, spark: SparkSession, root: str, quarantine: str | None = None):
-        self.versions, self.quarantine = Versions(spark, root), quarantine
+        self.deltas, self.quarantine = Deltas(spark, root), quarantine
         #: Called at named points; tests raise here.
         self.hook: Callable[[str, int], None] = lambda point, batch: None
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """One batch of raw messages (value)."""
-        state = self.versions.state()
-        if state and number <= state["batch"]:
+        if number <= self.deltas.batch():
             return
         parsed = E.validated(batch).persist()
         try:
             if self.quarantine:
-                append_jsonl(parsed.filter("NOT ok").select("value", F.lit(number).alias("batch")), self.quarantine)
+                parsed.filter("NOT ok").select("value").write.mode("overwrite").json(f"{self.quarantine}/batch={number}")
             new = first_of(parsed.filter("ok").select("event_id", "account_id", "amount"), "event_id", "account_id", "amount")
-            seen, balances = self.versions.read("seen"), self.versions.read("balances")
+            seen = self.deltas.read("seen")
             if seen is not None:
                 new = new.join(seen, "event_id", "left_anti")
-            ids = new.select("event_id")
             sums = new.groupBy("account_id").agg(F.sum("amount").alias("total"))
-            if seen is not None:
-                ids = seen.unionByName(ids)
-                sums = balances.unionByName(sums).groupBy("account_id").agg(F.sum("total").alias("total"))
             self.hook("before", number)
-            self.versions.publish({"seen": ids, "balances": sums}, batch=number)
+            self.deltas.publish({"seen": new.select("event_id"), "sums": sums}, number)
             self.hook("after", number)
         finally:
             parsed.unpersist()
 
     def balances(self) -> DataFrame | None:
-        return self.versions.read("balances")
+        sums = self.deltas.read("sums")
+        return None if sums is None else sums.groupBy("account_id").agg(F.sum("total").cast("long").alias("total"))
 
     def run(self, path: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
         """Everything that the folder of JSON files holds; returns when it is applied."""
         schema = StructType().add("value", "string")
-        source = self.versions.spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).text(path)
+        source = self.deltas.spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).text(path)
         query = source.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query
@@ -67,26 +63,22 @@ class Projection:
     """The last state of each key from change envelopes (op, key, pos, fields)."""
 
     def __init__(self, spark: SparkSession, root: str, fields: list[str]):
-        self.versions, self.fields = Versions(spark, root), fields
+        self.deltas, self.fields = Deltas(spark, root), fields
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        state = self.versions.state()
-        if state and number <= state["batch"]:
+        if number <= self.deltas.batch():
             return
-        log = batch.select("op", "key", "pos", *self.fields)
-        before = self.versions.read("log")
-        both = log if before is None else before.unionByName(log)
-        acts = both.filter(E.action(F.col("op")) != "skip")
+        acts = batch.filter(E.action(F.col("op")) != "skip")
         # A deletion stays as the last entry of its key, so that an older delivery can't bring it back.
         last = acts.groupBy("key").agg(F.max_by(F.struct("op", *self.fields), "pos").alias("x"), F.max("pos").alias("pos")).select("key", "pos", "x.*")
-        self.versions.publish({"log": last.select("op", "key", "pos", *self.fields)}, batch=number)
+        self.deltas.publish({"log": last.select("op", "key", "pos", *self.fields)}, number)
 
     def state(self) -> DataFrame | None:
-        log = self.versions.read("log")
+        log = self.deltas.read("log")
         return None if log is None else E.final_state(log, "key", "pos", self.fields)
 
     def run(self, path: str, schema: StructType, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-        query = stream(self.versions.spark, path, schema, max_files).writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = stream(self.deltas.spark, path, schema, max_files).writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query
 
@@ -106,11 +98,11 @@ class OutboxRelay:
     """Publishes unpublished rows in order, then marks them; a repeat after a crash is a duplicate that the consumer drops."""
 
     def __init__(self, spark: SparkSession, outbox: DataFrame, root: str, topic: str):
-        self.versions, self.outbox, self.topic = Versions(spark, root), outbox, topic
+        self.deltas, self.outbox, self.topic = Deltas(spark, root), outbox, topic
         self.hook: Callable[[str], None] = lambda point: None
 
     def relay(self, n: int) -> int:
-        marked = self.versions.read("published")
+        marked = self.deltas.read("published")
         due = self.outbox if marked is None else self.outbox.join(marked, "id", "left_anti")
         batch = due.orderBy("id").limit(n).persist()
         try:
@@ -118,8 +110,7 @@ class OutboxRelay:
             if count:
                 batch.select(F.to_json(F.struct("event_id", "account_id", "amount")).alias("value")).write.mode("append").text(self.topic)
                 self.hook("published")
-                ids = batch.select("id")
-                self.versions.publish({"published": ids if marked is None else marked.unionByName(ids)}, batch=0)
+                self.deltas.publish({"published": batch.select("id")}, self.deltas.batch() + 1)
             return count
         finally:
             batch.unpersist()
