@@ -93,6 +93,12 @@ def unwrapped(df: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
     return df.select(*(instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
+def mapped(docs: DataFrame, run) -> DataFrame:
+    """docs through mapInArrow, with the columns they have; it takes no names with dots, so they go by number meanwhile."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

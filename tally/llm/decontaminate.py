@@ -181,7 +181,7 @@ def apply(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block
         return run
 
     for block in blocks_of(items, block_bytes):
-        docs = docs.mapInArrow(without(block), docs.schema)
+        docs = C.mapped(docs, without(block))
     return docs
 
 

@@ -141,4 +141,4 @@ def apply(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
             yield b.filter(pa.array(judge([t or b"" for t in C.binary(b.column(at))], forest, threshold)[2]))
 
     C.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return C.mapped(docs, run)
