@@ -6,6 +6,9 @@ as wide as the square root of the number of units. Biases start at the units' sh
 an untrained model is the unigram model. Training is truncated backpropagation through
 time with Adam; scoring carries the state across windows from the start of a document to
 its end.
+
+States and gates are streams x units, held by column: numpy's inner loops run over the
+streams, and the gates' parts are blocks of memory.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     """Natural log of each target's probability after its state."""
     w, n = shape.width, np.arange(len(targets))
     order, classes = _by_class(targets, w)
-    down, held = np.ascontiguousarray(states[order].T), targets[order] // w
+    down, held = _columns(states.T, order), targets[order] // w
     x = p["cw"].T @ down + p["cb"][:, None]
     got = x[held, n]
     got -= _log_sums(x)
@@ -110,9 +113,19 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     return out
 
 
+def _columns(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The columns of x that which names; clip only saves numpy a buffer, as each is one of x."""
+    return x.take(which, axis=1, mode="clip")
+
+
+def _gates(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What each unit adds to the gates, the same wherever it stands: a column for each unit."""
+    return np.ascontiguousarray((p["embed"] @ p["wx"] + p["b"]).T)
+
+
 def _step(gates_in: np.ndarray, h: np.ndarray, wh: np.ndarray, n: int):
     """(next state, update gate, reset gate, candidate, recurrent part of the candidate)."""
-    own = h @ wh
+    own = (wh.T @ h.T).T
     gates = own[:, : 2 * n] + gates_in[:, : 2 * n]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
@@ -170,15 +183,15 @@ def score(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, st
     if not docs:
         return total
     p = split(vector, shape)
-    table = p["embed"] @ p["wx"] + p["b"]
+    table = _gates(p)
     h = None
     for target, given, start, doc, live in Streams(docs, end, 32, 512).windows(steps):
-        h = np.zeros((target.shape[1], shape.hidden), FLOAT) if h is None else h[: target.shape[1]]
+        h = np.zeros((shape.hidden, target.shape[1]), FLOAT).T if h is None else h[: target.shape[1]]
         goes_on = ~start[:, :, None]
-        states = np.empty((int(live.sum()), shape.hidden), FLOAT)
+        states = np.empty((shape.hidden, int(live.sum())), FLOAT).T
         at = 0
         for t, a in enumerate(live.tolist()):
-            h = _step(table[given[t, :a]], h[:a] * goes_on[t, :a], p["wh"], shape.hidden)[0]
+            h = _step(_columns(table, given[t, :a]).T, h[:a] * goes_on[t, :a], p["wh"], shape.hidden)[0]
             states[at : at + a] = h
             at += a
         inside = np.arange(target.shape[1]) < live[:, None]
@@ -206,23 +219,21 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     grad = np.zeros_like(vector)
     g = split(grad, shape)
     weight = (np.arange(b)[None, :] < live[:, None]).astype(FLOAT)
-    # A unit's share of the gates is the same wherever it stands.
-    gates = (p["embed"] @ p["wx"] + p["b"])[given]
+    gates = _columns(_gates(p), given.ravel()).reshape(3 * n, steps, b)
     goes_on = (~start).astype(FLOAT)[:, :, None]
-    before, tape = np.empty((steps, b, n), FLOAT), []
-    states, last = np.empty((steps, b, n), FLOAT), h0
+    before, tape = np.empty((n, steps, b), FLOAT), []
+    states, last = np.empty((n, steps, b), FLOAT), h0
     for t in range(steps):
-        h = np.multiply(last, goes_on[t], out=before[t])
-        last, *kept = _step(gates[t], h, p["wh"], n)
-        states[t] = last
+        h = np.multiply(last, goes_on[t], out=before[:, t].T)
+        last, *kept = _step(gates[:, t].T, h, p["wh"], n)
+        states[:, t] = last.T
         tape.append(kept)
-    states = states.reshape(-1, n)
     flat = target.ravel()
     w = weight.ravel() / max(float(weight.sum()), 1.0)
     # Tokens of a class stand side by side from here on.
     order, classes = _by_class(flat, shape.width)
     held, w = flat[order], w[order]
-    down = np.ascontiguousarray(states[order].T)
+    down = _columns(states.reshape(n, -1), order)
     rows, width = np.arange(len(flat)), shape.width
     d = p["cw"].T @ down + p["cb"][:, None]
     own = d[held // width, rows]
@@ -243,34 +254,30 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
         g["uw"][:, part] = down[:, at] @ d.T
         g["ub"][part] = d.sum(1)
         up[:, at] += p["uw"][:, part] @ d
-    dh = np.empty_like(states)
-    dh[order] = up.T
-    dh = dh.reshape(steps, b, n)
+    back = np.empty_like(order)
+    back[order] = rows
+    dh = _columns(up, back).reshape(n, steps, b)
     dgates, recurrent = np.empty_like(gates), np.empty_like(gates)
-    back = np.ascontiguousarray(p["wh"].T)
-    carried = np.zeros((b, n), FLOAT)
+    carried = np.zeros((n, b), FLOAT).T
     for t in range(steps - 1, -1, -1):
         z, r, candidate, own = tape[t]
-        h, own_gates = before[t], dgates[t]
-        up = dh[t] + carried
+        h, own_gates, own_recurrent = before[:, t].T, dgates[:, t].T, recurrent[:, t].T
+        up = dh[:, t].T + carried
         dc = up * (1 - z)
         dc *= 1 - candidate * candidate
         carried = up * z
         np.multiply(carried * (h - candidate), 1 - z, out=own_gates[:, :n])
         np.multiply(dc * own, r * (1 - r), out=own_gates[:, n : 2 * n])
         own_gates[:, 2 * n :] = dc
-        recurrent[t, :, : 2 * n] = own_gates[:, : 2 * n]
-        np.multiply(dc, r, out=recurrent[t, :, 2 * n :])
-        carried += recurrent[t] @ back
+        own_recurrent[:, : 2 * n] = own_gates[:, : 2 * n]
+        np.multiply(dc, r, out=own_recurrent[:, 2 * n :])
+        carried += (p["wh"] @ own_recurrent.T).T
         carried *= goes_on[t]
-    g["wh"][:] = before.reshape(-1, n).T @ recurrent.reshape(-1, 3 * n)
-    # Sums over the places where a unit stands, then through its row of the embedding.
-    flat, dgates = given.ravel(), dgates.reshape(-1, 3 * n)
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-    units, sums = flat[order][first], np.add.reduceat(dgates[order], first, axis=0)
-    g["wx"][:], g["b"][:] = p["embed"][units].T @ sums, sums.sum(0)
-    g["embed"][units] = sums @ p["wx"].T
+    g["wh"][:] = before.reshape(n, -1) @ recurrent.reshape(3 * n, -1).T
+    flat, dgates = given.ravel(), dgates.reshape(3 * n, -1)
+    g["wx"][:], g["b"][:] = p["embed"][flat].T @ dgates.T, dgates.sum(1)
+    for i, through in enumerate(p["wx"] @ dgates):
+        g["embed"][:, i] = np.bincount(flat, through, shape.units)
     return float(loss), grad, last
 
 
