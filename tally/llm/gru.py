@@ -89,7 +89,8 @@ def _log_sums(x: np.ndarray) -> np.ndarray:
 def _by_class(targets: np.ndarray, width: int) -> tuple[np.ndarray, list[tuple[int, slice, np.ndarray]]]:
     """The order that puts targets of a class side by side, and (class, where, slots) of each class in it."""
     classes = targets // width
-    order = np.argsort(classes, kind="stable")
+    # numpy sorts 16 bits by their digits.
+    order = np.argsort(classes.astype(np.uint16) if classes.max(initial=0) < 1 << 16 else classes, kind="stable")
     held, slots = classes[order], (targets - classes * width)[order]
     edges = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), len(held)]
     return order, [(int(held[a]), slice(a, b), slots[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
@@ -99,12 +100,13 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     """Natural log of each target's probability after its state."""
     w, n = shape.width, np.arange(len(targets))
     order, classes = _by_class(targets, w)
-    down, held = _columns(states.T, order), targets[order] // w
-    x = p["cw"].T @ down + p["cb"][:, None]
+    down, held = _columns_and_one(states.T, order), targets[order] // w
+    x = np.vstack((p["cw"], p["cb"])).T @ down
     got = x[held, n]
     got -= _log_sums(x)
+    inside = np.vstack((p["uw"], p["ub"]))
     for c, at, slots in classes:
-        x = p["uw"][:, c * w : (c + 1) * w].T @ down[:, at] + p["ub"][c * w : (c + 1) * w, None]
+        x = inside[:, c * w : (c + 1) * w].T @ down[:, at]
         own = x[slots, n[: len(slots)]]
         own -= _log_sums(x)
         got[at] += own
@@ -118,6 +120,14 @@ def _columns(x: np.ndarray, which: np.ndarray) -> np.ndarray:
     return x.take(which, axis=1, mode="clip")
 
 
+def _columns_and_one(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The columns of x, each with a one at its end that biases are multiplied by."""
+    out = np.empty((len(x) + 1, len(which)), x.dtype)
+    x.take(which, axis=1, mode="clip", out=out[:-1])
+    out[-1] = 1
+    return out
+
+
 def _gates(p: dict[str, np.ndarray]) -> np.ndarray:
     """What each unit adds to the gates, the same wherever it stands: a column for each unit."""
     return np.ascontiguousarray((p["embed"] @ p["wx"] + p["b"]).T)
@@ -233,47 +243,54 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     # Tokens of a class stand side by side from here on.
     order, classes = _by_class(flat, shape.width)
     held, w = flat[order], w[order]
-    down = _columns(states.reshape(n, -1), order)
+    down = _columns_and_one(states.reshape(n, -1), order)
     rows, width = np.arange(len(flat)), shape.width
-    d = p["cw"].T @ down + p["cb"][:, None]
+    d = np.vstack((p["cw"], p["cb"])).T @ down
     own = d[held // width, rows]
     d, total, shift = _exponentials(d)
     loss = -((own - np.log(total) - shift) * w).sum()
     d *= w / total
     d[held // width, rows] -= w
-    g["cw"][:], g["cb"][:] = down @ d.T, d.sum(1)
+    sums = down @ d.T
+    g["cw"][:], g["cb"][:] = sums[:-1], sums[-1]
     up = p["cw"] @ d
+    inside = np.vstack((p["uw"], p["ub"]))
     for c, at, slots in classes:
         part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
-        d = p["uw"][:, part].T @ down[:, at] + p["ub"][part, None]
+        d = inside[:, part].T @ down[:, at]
         own = d[slots, k]
         d, total, shift = _exponentials(d)
         loss -= ((own - np.log(total) - shift) * w[at]).sum()
         d *= w[at] / total
         d[slots, k] -= w[at]
-        g["uw"][:, part] = down[:, at] @ d.T
-        g["ub"][part] = d.sum(1)
+        sums = down[:, at] @ d.T
+        g["uw"][:, part], g["ub"][part] = sums[:-1], sums[-1]
         up[:, at] += p["uw"][:, part] @ d
     back = np.empty_like(order)
     back[order] = rows
     dh = _columns(up, back).reshape(n, steps, b)
-    dgates, recurrent = np.empty_like(gates), np.empty_like(gates)
+    # The candidate's recurrent part goes through the reset gate, its other part doesn't.
+    dgates, reset = np.empty_like(gates), np.empty_like(before)
+    of_gates, of_candidate = p["wh"][:, : 2 * n], p["wh"][:, 2 * n :]
     carried = np.zeros((n, b), FLOAT).T
     for t in range(steps - 1, -1, -1):
         z, r, candidate, own = tape[t]
-        h, own_gates, own_recurrent = before[:, t].T, dgates[:, t].T, recurrent[:, t].T
+        h, own_gates, own_reset = before[:, t].T, dgates[:, t].T, reset[:, t].T
         up = dh[:, t].T + carried
-        dc = up * (1 - z)
+        rest = 1 - z
+        dc = up * rest
         dc *= 1 - candidate * candidate
-        carried = up * z
-        np.multiply(carried * (h - candidate), 1 - z, out=own_gates[:, :n])
-        np.multiply(dc * own, r * (1 - r), out=own_gates[:, n : 2 * n])
+        carried = np.multiply(up, z, out=up)
+        np.multiply(carried * (h - candidate), rest, out=own_gates[:, :n])
+        np.multiply(dc, r, out=own_reset)
+        np.multiply(own_reset * own, 1 - r, out=own_gates[:, n : 2 * n])
         own_gates[:, 2 * n :] = dc
-        own_recurrent[:, : 2 * n] = own_gates[:, : 2 * n]
-        np.multiply(dc, r, out=own_recurrent[:, 2 * n :])
-        carried += (p["wh"] @ own_recurrent.T).T
+        carried += (of_gates @ own_gates[:, : 2 * n].T).T
+        carried += (of_candidate @ own_reset.T).T
         carried *= goes_on[t]
-    g["wh"][:] = before.reshape(n, -1) @ recurrent.reshape(3 * n, -1).T
+    h = before.reshape(n, -1)
+    g["wh"][:, : 2 * n] = h @ dgates[: 2 * n].reshape(2 * n, -1).T
+    g["wh"][:, 2 * n :] = h @ reset.reshape(n, -1).T
     flat, dgates = given.ravel(), dgates.reshape(3 * n, -1)
     g["wx"][:], g["b"][:] = p["embed"][flat].T @ dgates.T, dgates.sum(1)
     for i, through in enumerate(p["wx"] @ dgates):
