@@ -152,7 +152,7 @@ def links(docs: DataFrame, rows: DataFrame, chunk_shingles: int = CHUNK_SHINGLES
     texts = C.keyed(docs).join(wanted, ["did", "key"]).select("node", "text").dropDuplicates(["node"])
     C.small_batches(spark)
     sets = C.staged(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
-    dealt = members.join(sets, "node").repartition(C.partitions(spark), "band", "a", "b").sortWithinPartitions("band", "a", "b")
+    dealt = members.join(sets, "node").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
     return C.staged(dealt.select("band", "a", "b", "node", "shingles").mapInArrow(_links(threshold), "u long, v long"), "links")
 
 

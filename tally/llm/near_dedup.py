@@ -201,7 +201,7 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         rows = each.select("bucket", "part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     else:
         rows = rows.select("bucket", "part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
-    dealt = rows.repartition(C.partitions(spark), *_GROUP).sortWithinPartitions(*_GROUP, "fp")
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "fp")
     return C.staged(dealt.mapInArrow(_links_of(), "u long, v long"), "links")
 
 
