@@ -17,10 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +31,8 @@ from . import gru
 FOLDS = 10
 ADDED = 0.1
 PACK_BYTES = 12 << 20
+#: Text whose words are Python objects at once, but for the last text.
+PART_BYTES = 1 << 20
 #: Units of single words, and of words by their ending.
 WORD_UNITS = 1200
 ENDING_UNITS = 400
@@ -53,17 +52,28 @@ _PACK = "pack long, word binary, number int, trained long, documents binary"
 _PACK_PA = pa.schema([("pack", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("trained", pa.int64()), ("documents", pa.binary())])
 
 
-def _packed(dids: list[int | None], sizes: list[int], tokens: bytes) -> bytes:
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, each byte of them in a plane of its own: the high ones are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return np.int64(planes.size).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, kind: type[np.generic]) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    planes = np.frombuffer(pa.decompress(data[8:], n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(dids: list[int | None], sizes: list[int], tokens: np.ndarray) -> bytes:
     """A pack's documents as bytes: how many, their ids and which are null, token counts and token numbers."""
     ids, null = np.array([d or 0 for d in dids], np.int64), np.array([d is None for d in dids])
-    return zlib.compress(b"".join((np.int64(len(dids)).tobytes(), ids.tobytes(), np.array(sizes, np.int32).tobytes(), null.tobytes(), tokens)), 1)
+    return b"".join((np.int64(len(dids)).tobytes(), ids.tobytes(), np.array(sizes, np.int32).tobytes(), null.tobytes(), _squeezed(tokens)))
 
 
 def _unpacked(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    data = zlib.decompress(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     ids, null = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, bool, n, 8 + 12 * n)
-    return pa.array(ids, mask=null), np.frombuffer(data, np.int32, n, 8 + 8 * n), np.frombuffer(data[8 + 13 * n :], np.uint32)
+    return pa.array(ids, mask=null), np.frombuffer(data, np.int32, n, 8 + 8 * n), _restored(data[8 + 13 * n :], np.uint32)
 
 
 def _packs(pack_bytes: int):
@@ -71,34 +81,40 @@ def _packs(pack_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        numbers, tokens, dids, sizes, held = defaultdict(count().__next__), array("I"), [], [], 0
+        parts, words, dids, sizes, held, loose = [], [], [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             pack = base | made
-            ids = np.frombuffer(tokens, np.uint32)
+            # Every part gets the numbers of one dictionary, that of the pack.
+            coded = pa.chunked_array([*parts, pa.array(words, pa.binary())]).dictionary_encode()
+            ids = np.concatenate([x.indices.to_numpy() for x in coded.chunks]).astype(np.uint32)
+            own = coded.chunk(0).dictionary
             learnt = np.repeat([not held_out(d) for d in dids], sizes)
-            trained = np.bincount(ids[learnt], minlength=len(numbers))
-            head = _packed(dids, sizes, ids.tobytes())
+            trained = np.bincount(ids[learnt], minlength=len(own))
+            head = _packed(dids, sizes, ids)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack], [None], [None], [None], [head]), _PACK_PA, strict=True)], schema=_PACK_PA)
-            words = list(numbers)
-            for a in range(0, len(words), 20_000):
-                part = words[a : a + 20_000]
+            for a in range(0, len(own), 20_000):
+                part = own.slice(a, 20_000)
                 n = len(part)
-                columns = [pa.array(np.full(n, pack)), pa.array(part, pa.binary()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
+                columns = [pa.array(np.full(n, pack)), part, pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_PACK_PA)[4:])], schema=_PACK_PA)
 
         for ids, texts in C.rows_of(batches, "doc_id", "text"):
             for did, text in zip(ids, texts, strict=True):
-                words = text.lower().split()
+                before = len(words)
+                words += text.lower().split()
                 words.append(END)
-                tokens.extend(map(numbers.__getitem__, words))
                 dids.append(did)
-                sizes.append(len(words))
+                sizes.append(len(words) - before)
                 held += len(text)
+                loose += len(text)
                 if held >= pack_bytes:
                     yield from flush()
                     made += 1
-                    numbers, tokens, dids, sizes, held = defaultdict(count().__next__), array("I"), [], [], 0
+                    parts, words, dids, sizes, held, loose = [], [], [], [], 0, 0
+                elif loose >= PART_BYTES:
+                    parts.append(pa.array(words, pa.binary()))
+                    words, loose = [], 0
         if dids:
             yield from flush()
 
@@ -123,7 +139,7 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
         dids, sizes, tokens = _unpacked(head)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = [np.bincount(doc, x[tokens], len(sizes)) for x in ((words > 0).astype(float), logs - scale, inside)]
-        rows = [[dids.to_pylist()], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [zlib.compress(unit[tokens].astype(np.uint16).tobytes(), 1)]]
+        rows = [[dids.to_pylist()], [sizes], [sums[0].astype(np.int32)], [sums[1]], [sums[2]], [_squeezed(unit[tokens].astype(np.uint16))]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +208,7 @@ class Corpus:
 
 def split_documents(batch: pa.RecordBatch, i: int, rank: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     """Ids and units of the documents of a bound pack."""
-    units = rank[np.frombuffer(zlib.decompress(batch.column("units")[i].as_py()), np.uint16)]
+    units = rank[_restored(batch.column("units")[i].as_py(), np.uint16)]
     sizes = batch.column("sizes")[i].values.to_numpy()
     return batch.column("dids")[i].as_py(), np.split(units, np.cumsum(sizes)[:-1])
 
