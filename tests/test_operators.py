@@ -128,6 +128,12 @@ def test_metrics(spark):
     assert abs(metrics.rank_overlap(approx, exact).first().overlap - want) < 1e-12
 
 
+def test_rank_overlap_of_lists_that_share_nothing(spark):
+    table = lambda *keys: spark.createDataFrame([(k, 9 - i) for i, k in enumerate(keys)], "key long, cnt long")
+    cases = {((1, 2), (3, 4)): 0.0, ((), (3, 4)): 0.0, ((3, 9), (4, 3)): 0.25, ((4, 3), (4, 3)): 1.0, ((1, 2, 3), (3,)): 0.0, ((1, 2), ()): None}
+    assert {x: [r.overlap for r in metrics.rank_overlap(table(*x[0]), table(*x[1])).collect()] for x in cases} == {x: [want] for x, want in cases.items()}
+
+
 def test_tie_aware_equality(spark):
     table = lambda *x: spark.createDataFrame(x, "key long, cnt long")
     truth, want = table((1, 5), (2, 3), (9, 3), (4, 1)), table((1, 5), (9, 3))
