@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_CHARS = 10
+RANGES_A_FILE = 3
 
 _LINES = "h1 long, h2 long, did long, key long, pos int, n int"
 _LINES_PA = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
@@ -112,9 +113,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(did, key, n_lines, n_dropped, keep_bitmap) of each document that loses a line; all others keep every line."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    lines = C.staged(C.keyed(docs).mapInArrow(_lines(min_chars), _LINES), "lines")
+    # Hashed once for the ranges' bounds and once to be dealt out, which takes less than a table of all lines.
+    lines, tasks = C.keyed(docs).mapInArrow(_lines(min_chars), _LINES), C.partitions(spark)
     order = ["h1", "h2", "did", "key", "pos"]
-    found = C.staged(lines.repartitionByRange(C.partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_first_occurrences, _DROPS), "line-drops")
+    sorted_lines = lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # Few lines are dropped: three partitions to a file.
+    found = C.staged(sorted_lines.mapInArrow(_first_occurrences, _DROPS).coalesce(-(-tasks // RANGES_A_FILE)), "line-drops")
     # At most one open run and one tail for each partition: a bound that holds at any size.
     owners = found.filter(F.col("kind") != _SURE).groupBy("h1", "h2").agg(F.min("did").alias("owner"))
     open_runs = found.filter(F.col("kind") == _EARLIER).join(F.broadcast(owners), ["h1", "h2"]).filter(F.col("did") != F.col("owner"))

@@ -46,6 +46,20 @@ def test_line_dedup_of_one_common_line(spark, docs_of):
     same(line_dedup.digests(docs_of(rows)), brute.line_dedup(rows))
 
 
+def test_line_dedup_writes_few_files(spark, docs_of, monkeypatch):
+    written, staged = [], C.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(C, "staged", counted)
+    rows = [(i, f"line number {i % 500} of many\nline number {i % 499} of others") for i in range(2_000)]
+    same(line_dedup.digests(docs_of(rows)), brute.line_dedup(rows))
+    assert [name for name, _ in written] == ["line-drops"] and written[0][1] <= -(-C.partitions(spark) // 3)
+
+
 def test_line_dedup_apply(docs_of):
     docs = docs_of(ROWS)
     out = line_dedup.apply(docs)
