@@ -215,15 +215,25 @@ class Adam:
         self.m, self.v, self.t, self.rate = np.zeros(size, FLOAT), np.zeros(size, FLOAT), 0, rate
 
     def update(self, vector: np.ndarray, grad: np.ndarray) -> None:
+        """Moves vector; grad is overwritten."""
         self.t += 1
-        self.m += FLOAT(0.1) * (grad - self.m)
-        self.v += FLOAT(0.01) * (grad * grad - self.v)
+        step = grad - self.m
+        step *= FLOAT(0.1)
+        self.m += step
+        grad *= grad
+        grad -= self.v
+        grad *= FLOAT(0.01)
+        self.v += grad
         rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        vector -= FLOAT(rate) * self.m / (np.sqrt(self.v) + FLOAT(1e-6))
+        np.sqrt(self.v, out=grad)
+        grad += FLOAT(1e-6)
+        np.multiply(self.m, FLOAT(rate), out=step)
+        step /= grad
+        vector -= step
 
 
-def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarray, given: np.ndarray, start: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss a token, gradient, last state) of one window; nothing flows into the window before it."""
+def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarray, given: np.ndarray, start: np.ndarray, live: np.ndarray, with_loss: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss a token, or 0 without loss, gradient, last state) of one window; nothing flows into the window before it."""
     p, n = split(vector, shape), shape.hidden
     steps, b = target.shape
     grad = np.zeros_like(vector)
@@ -245,25 +255,28 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     held, w = flat[order], w[order]
     down = _columns_and_one(states.reshape(n, -1), order)
     rows, width = np.arange(len(flat)), shape.width
-    d = np.vstack((p["cw"], p["cb"])).T @ down
-    own = d[held // width, rows]
+    d, of_class, loss = np.vstack((p["cw"], p["cb"])).T @ down, held // width, 0.0
+    own = d[of_class, rows] if with_loss else None
     d, total, shift = _exponentials(d)
-    loss = -((own - np.log(total) - shift) * w).sum()
+    if with_loss:
+        loss -= ((own - np.log(total) - shift) * w).sum()
     d *= w / total
-    d[held // width, rows] -= w
+    d[of_class, rows] -= w
     sums = down @ d.T
     g["cw"][:], g["cb"][:] = sums[:-1], sums[-1]
     up = p["cw"] @ d
     inside = np.vstack((p["uw"], p["ub"]))
     for c, at, slots in classes:
         part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
-        d = inside[:, part].T @ down[:, at]
-        own = d[slots, k]
+        x, share = down[:, at], w[at]
+        d = inside[:, part].T @ x
+        own = d[slots, k] if with_loss else None
         d, total, shift = _exponentials(d)
-        loss -= ((own - np.log(total) - shift) * w[at]).sum()
-        d *= w[at] / total
-        d[slots, k] -= w[at]
-        sums = down[:, at] @ d.T
+        if with_loss:
+            loss -= ((own - np.log(total) - shift) * share).sum()
+        d *= share / total
+        d[slots, k] -= share
+        sums = x @ d.T
         g["uw"][:, part], g["ub"][part] = sums[:-1], sums[-1]
         up[:, at] += p["uw"][:, part] @ d
     back = np.empty_like(order)
@@ -292,7 +305,7 @@ def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarra
     g["wh"][:, : 2 * n] = h @ dgates[: 2 * n].reshape(2 * n, -1).T
     g["wh"][:, 2 * n :] = h @ reset.reshape(n, -1).T
     flat, dgates = given.ravel(), dgates.reshape(3 * n, -1)
-    g["wx"][:], g["b"][:] = p["embed"][flat].T @ dgates.T, dgates.sum(1)
+    g["wx"][:], g["b"][:] = p["embed"].take(flat, axis=0).T @ dgates.T, dgates.sum(1)
     for i, through in enumerate(p["wx"] @ dgates):
         g["embed"][:, i] = np.bincount(flat, through, shape.units)
     return float(loss), grad, last
@@ -318,7 +331,8 @@ def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, ad
     for at in range(0, long, steps):
         part = slice(at, at + steps)
         live = np.full(len(target[part]), streams)
-        _, grad, h = gradient(vector, shape, h, target[part], given[part], start[part], live)
-        norm = float(np.sqrt((grad * grad).sum()))
-        adam.update(vector, grad * FLOAT(min(1.0, clip / max(norm, 1e-12))))
+        _, grad, h = gradient(vector, shape, h, target[part], given[part], start[part], live, with_loss=False)
+        norm = float(np.sqrt(grad @ grad))
+        grad *= FLOAT(min(1.0, clip / max(norm, 1e-12)))
+        adam.update(vector, grad)
     return vector

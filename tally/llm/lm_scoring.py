@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,11 @@ from . import gru
 FOLDS = 10
 ADDED = 0.1
 PACK_BYTES = 12 << 20
-#: Text whose words are Python objects at once, but for the last text.
-PART_BYTES = 1 << 20
 #: Units of single words, and of words by their ending.
 WORD_UNITS = 1200
 ENDING_UNITS = 400
+#: More than there are units: a word's number in its pack and its unit are number * PLACES + unit.
+PLACES = 1 << 16
 #: A round trains on every STRIDE-th training document, another one each round: as many rounds use each once.
 STRIDE = 2
 ROUNDS = STRIDE
@@ -76,17 +77,26 @@ def _unpacked(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(ids, mask=null), np.frombuffer(data, np.int32, n, 8 + 8 * n), _restored(data[8 + 13 * n :], np.uint32)
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, each text's followed by END; how many each has, with END)."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # What follows a last space is the empty word; an empty text is that word alone.
+    closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, "", " "))
+    words = pc.ascii_split_whitespace(closed)
+    return words.flatten().cast(pa.binary()), pc.list_value_length(words).to_numpy()
+
+
 def _packs(pack_bytes: int):
     """One row with the documents of each pack, and one for each of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
-        parts, words, dids, sizes, held, loose = [], [], [], [], 0, 0
+        parts, dids, sizes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             pack = base | made
             # Every part gets the numbers of one dictionary, that of the pack.
-            coded = pa.chunked_array([*parts, pa.array(words, pa.binary())]).dictionary_encode()
+            coded = pa.chunked_array(parts).dictionary_encode()
             ids = np.concatenate([x.indices.to_numpy() for x in coded.chunks]).astype(np.uint32)
             own = coded.chunk(0).dictionary
             learnt = np.repeat([not held_out(d) for d in dids], sizes)
@@ -99,22 +109,21 @@ def _packs(pack_bytes: int):
                 columns = [pa.array(np.full(n, pack)), part, pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_PACK_PA)[4:])], schema=_PACK_PA)
 
-        for ids, texts in C.rows_of(batches, "doc_id", "text"):
-            for did, text in zip(ids, texts, strict=True):
-                before = len(words)
-                words += text.lower().split()
-                words.append(END)
-                dids.append(did)
-                sizes.append(len(words) - before)
-                held += len(text)
-                loose += len(text)
+        for b in batches:
+            ids, lengths = b.column("doc_id").to_pylist(), pc.binary_length(b.column("text")).to_numpy().astype(np.int64)
+            words, counts = _words(b.column("text"))
+            edges, at = np.concatenate(([0], np.cumsum(counts))), 0
+            while at < len(ids):
+                reach = held + np.cumsum(lengths[at:])
+                stop = at + min(int(np.searchsorted(reach, pack_bytes)) + 1, len(reach))
+                parts.append(words.slice(edges[at], edges[stop] - edges[at]))
+                dids += ids[at:stop]
+                sizes += counts[at:stop].tolist()
+                held, at = int(reach[stop - at - 1]), stop
                 if held >= pack_bytes:
                     yield from flush()
                     made += 1
-                    parts, words, dids, sizes, held, loose = [], [], [], [], 0, 0
-                elif loose >= PART_BYTES:
-                    parts.append(pa.array(words, pa.binary()))
-                    words, loose = [], 0
+                    parts, dids, sizes, held = [], [], [], 0
         if dids:
             yield from flush()
 
@@ -130,10 +139,10 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
     scale = math.log10(total + ADDED * (distinct + 1))
     mass = np.array([ending_mass.get(i, 1.0) for i in range(max(ending_mass, default=0) + 1)])
 
-    def bound(head: bytes, number: np.ndarray, words: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
-        place = np.empty(len(number), np.int64)
-        place[number] = np.arange(len(number))
-        words, unit = words[place], unit[place]
+    def bound(head: bytes, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        number = place // PLACES
+        words, unit = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        words[number], unit[number] = count, place % PLACES
         logs = np.log10(words + ADDED)
         inside = np.where(unit >= WORD_UNITS, logs - np.log10(mass[np.where(unit >= WORD_UNITS, unit, 0)]), 0.0)
         dids, sizes, tokens = _unpacked(head)
@@ -143,21 +152,25 @@ def _bind(total: int, distinct: int, ending_mass: dict[int, float]):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _BOUND_PA, strict=True)], schema=_BOUND_PA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by pack and number: the pack's documents at number -1, then its words."""
-        pack, parts = None, []
+        """Rows come by pack, in any order: its words, and its documents at place -1."""
+        pack = head = None
+        parts = []
         for b in batches:
-            numbers = b.column("number").to_numpy()
-            heads = np.flatnonzero(numbers < 0).tolist()
-            for start, end in zip([0, *heads], [*heads, len(numbers)], strict=True):
-                if end > start:
-                    own = start + (numbers[start] < 0)
-                    if own > start:
-                        if pack is not None:
-                            yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
-                        pack, parts = b.column("documents")[start].as_py(), []
-                    parts.append(tuple(b.column(n)[own:end].to_numpy(zero_copy_only=False) for n in ("number", "count", "unit")))
-        if pack is not None:
-            yield bound(pack, *map(np.concatenate, zip(*parts, strict=True)))
+            packs, columns = b.column("pack").to_numpy(), [b.column(n).to_numpy(zero_copy_only=False) for n in ("place", "count")]
+            edges = (np.flatnonzero(packs[1:] != packs[:-1]) + 1).tolist()
+            for start, end in zip([0, *edges], [*edges, len(packs)], strict=True):
+                if end == start:
+                    continue
+                if packs[start] != pack:
+                    if head is not None:
+                        yield bound(head, *map(np.concatenate, zip(*parts, strict=True)))
+                    pack, head, parts = packs[start], None, []
+                word = columns[0][start:end] >= 0
+                if not word.all():
+                    head = b.column("documents")[start + int(np.argmin(word))].as_py()
+                parts.append(tuple(c[start:end][word] for c in columns))
+        if head is not None:
+            yield bound(head, *map(np.concatenate, zip(*parts, strict=True)))
 
     return run
 
@@ -181,13 +194,14 @@ class Corpus:
         placed = counts.join(F.broadcast(own), "word", "left").withColumn("unit", F.coalesce("place", ending))
         rest = {r.unit: r.mass for r in placed.filter("place IS NULL").groupBy("unit").agg((F.sum("count") + F.count(F.when(F.col("count") > 0, 1)) * ADDED + ADDED).alias("mass")).collect()}
         ending_mass = {WORD_UNITS + i: float(rest.get(WORD_UNITS + i, ADDED)) for i in range(ENDING_UNITS)}
-        of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", "number", "count", "unit")
-        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).alias("number"), "documents")
+        of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", F.expr(f"number * {PLACES}L + unit").alias("place"), "count")
+        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).cast("long").alias("place"), "documents")
         # A task binds about one pack, however many there are.
         tasks = max(C.partitions(spark), packs.filter("word IS NULL").count())
-        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(tasks, "pack").sortWithinPartitions("pack", "number")
+        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(tasks, "pack").sortWithinPartitions("pack")
         C.small_batches(spark, WORD_BATCH)
-        self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
+        with C.hash_joins(spark):
+            self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
         C.small_batches(spark)
         mass = np.full(WORD_UNITS + ENDING_UNITS, 1e-9)
         mass[: len(top)] = [r["count"] + ADDED for r in top]

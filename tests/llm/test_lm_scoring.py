@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 
 from tally.llm import common as C
 from tally.llm import gru
@@ -115,3 +116,39 @@ def test_every_training_document_is_learnt_from(spark):
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum() * 0.97
     assert (held.score > held.base_score).mean() > 0.9
+
+
+def test_words_of_texts():
+    texts = ["", " ", "a", "  a\x0b\x0cB\r\n c ", "\x1c\x85 é x Y \x00", "\x1f\x00 Z", "\u2003İ ẞ\tK\n"]
+    words, counts = L._words(pa.array(["left out", *texts]).slice(1))
+    want = [[*t.encode().lower().split(), L.END] for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and counts.tolist() == list(map(len, want))
+    words, counts = L._words(pa.array([], pa.string()))
+    assert len(words) == len(counts) == 0
+
+
+def test_rows_of_a_pack_come_in_any_order():
+    bind = L._bind(100, 10, {L.WORD_UNITS: 5.0})
+    rows = []
+    for pack, (dids, sizes, tokens) in {4: ([7, None], [3, 1], [2, 0, 1, 1]), 9: ([8], [2], [0, 1])}.items():
+        rows.append((pack, -1, L._packed(dids, sizes, np.array(tokens, np.uint32)), None))
+        rows += [(pack, n * L.PLACES + (L.WORD_UNITS if n == 2 else 5 + n), None, 10 * n) for n in range(max(tokens) + 1)]
+    schema = pa.schema([("pack", pa.int64()), ("place", pa.int64()), ("documents", pa.binary()), ("count", pa.int64())])
+
+    def bound(order, size):
+        table = pa.Table.from_pylist([dict(zip(schema.names, rows[i], strict=True)) for i in order], schema)
+        return [b.to_pylist() for b in bind(iter(table.to_batches(max_chunksize=size)))]
+
+    got = bound([3, 0, 2, 1, 6, 5, 4], 2)
+    assert [x[0]["dids"] for x in got] == [[7, None], [8]] and [x[0]["known"] for x in got] == [[2, 1], [1]]
+    assert got == bound(range(7), 7) == bound([1, 2, 3, 0, 5, 4, 6], 3)
+
+
+def test_gradient_without_loss_is_the_same():
+    shape, rng = gru.Shape(30, hidden=5, embedding=4), np.random.default_rng(3)
+    vector = gru.initial(shape, rng.random(30) + 0.1)
+    target, given = rng.integers(0, 30, (2, 6, 8))
+    window = np.zeros((8, 5), gru.FLOAT), target, given, rng.random((6, 8)) < 0.2, np.full(6, 8)
+    loss, want, last = gru.gradient(vector, shape, *window)
+    none, got, same = gru.gradient(vector, shape, *window, with_loss=False)
+    assert loss > 0 == none and (got == want).all() and (last == same).all()
