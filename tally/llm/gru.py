@@ -13,7 +13,9 @@ streams, and the gates' parts are blocks of memory.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,20 +46,26 @@ class Shape:
         return {"embed": (self.units, d), "wx": (d, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "cw": (h, self.classes), "cb": (self.classes,), "uw": (h, self.classes * self.width), "ub": (self.classes * self.width,)}
 
 
+@functools.cache
+def _places(shape: Shape) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(name, start, end, form) of the parts of a weight vector, and of each output's weights with its biases as one more row."""
+    out, at = [], 0
+    for name, form in shape.parts().items():
+        out.append((name, at, at + math.prod(form), form))
+        at += math.prod(form)
+    of = {name: (start, end) for name, start, end, _ in out}
+    return out + [(name, of[w][0], of[b][1], (shape.hidden + 1, -1)) for name, w, b in (("classes", "cw", "cb"), ("inside", "uw", "ub"))]
+
+
 def split(vector: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """Views of a flat weight vector."""
-    out, at = {}, 0
-    for name, dims in shape.parts().items():
-        size = int(np.prod(dims))
-        out[name] = vector[at : at + size].reshape(dims)
-        at += size
-    return out
+    return {name: vector[start:end].reshape(form) for name, start, end, form in _places(shape)}
 
 
 def initial(shape: Shape, mass: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights whose output is the share of each unit's mass, whatever the state."""
     rng = np.random.default_rng(seed)
-    vector = np.zeros(sum(int(np.prod(d)) for d in shape.parts().values()), FLOAT)
+    vector = np.zeros(sum(math.prod(d) for d in shape.parts().values()), FLOAT)
     p = split(vector, shape)
     for name, scale in (("embed", 0.3), ("wx", 0.3), ("wh", 0.15)):
         p[name][:] = rng.normal(0, scale, p[name].shape)
@@ -101,12 +109,11 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     w, n = shape.width, np.arange(len(targets))
     order, classes = _by_class(targets, w)
     down, held = _columns_and_one(states.T, order), targets[order] // w
-    x = np.vstack((p["cw"], p["cb"])).T @ down
+    x = p["classes"].T @ down
     got = x[held, n]
     got -= _log_sums(x)
-    inside = np.vstack((p["uw"], p["ub"]))
     for c, at, slots in classes:
-        x = inside[:, c * w : (c + 1) * w].T @ down[:, at]
+        x = p["inside"][:, c * w : (c + 1) * w].T @ down[:, at]
         own = x[slots, n[: len(slots)]]
         own -= _log_sums(x)
         got[at] += own
@@ -115,19 +122,56 @@ def log_probabilities(p: dict[str, np.ndarray], shape: Shape, states: np.ndarray
     return out
 
 
-def _columns(x: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The columns of x that which names; clip only saves numpy a buffer, as each is one of x."""
-    return x.take(which, axis=1, mode="clip")
+def _room(rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+    """An unfilled matrix whose rows are no multiple of 4 KB apart: they would share the same few lines of the cache."""
+    return np.empty((rows, columns + (384 - columns) % 1024), kind)[:, :columns]
+
+
+def _take(x: np.ndarray, which: np.ndarray, out: np.ndarray) -> None:
+    """Puts the columns of x that which names into out, row by row."""
+    for row, to in zip(x, out, strict=True):
+        row.take(which, mode="clip", out=to)
 
 
 def _columns_and_one(x: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The columns of x, each with a one at its end that biases are multiplied by."""
-    out = np.empty((len(x) + 1, len(which)), x.dtype)
-    x.take(which, axis=1, mode="clip", out=out[:-1])
+    out = _room(len(x) + 1, len(which), x.dtype)
+    _take(x, which, out[:-1])
     out[-1] = 1
     return out
 
 
+def _joined(p: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """One matrix for a step: rows for the state, the embedding and a one; columns for the candidate's input,
+    the negated update and reset gates and the candidate's recurrent part."""
+    wx = np.vstack((p["wx"], p["b"]))
+    out = np.zeros((n + len(wx), 4 * n), wx.dtype)
+    out[n:, :n] = wx[:, 2 * n :]
+    np.negative(p["wh"][:, : 2 * n], out=out[:n, n : 3 * n])
+    np.negative(wx[:, : 2 * n], out=out[n:, n : 3 * n])
+    out[:n, 3 * n :] = p["wh"][:, 2 * n :]
+    return out
+
+
+def _cell(sums: np.ndarray, h: np.ndarray, gates: np.ndarray, candidate: np.ndarray, less: np.ndarray, new: np.ndarray) -> None:
+    """Fills gates, candidate, the state less the candidate, and the new state, from a step's sums."""
+    n = len(h)
+    np.exp(sums[n : 3 * n], out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[n:], sums[3 * n :], out=candidate)
+    candidate += sums[:n]
+    np.tanh(candidate, out=candidate)
+    np.subtract(h, candidate, out=less)
+    np.multiply(less, gates[:n], out=new)
+    new += candidate
+
+
+def _columns(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The columns of x that which names; clip only saves numpy a buffer, as each is one of x."""
+    return x.take(which, axis=1, mode="clip")
+
+
 def _gates(p: dict[str, np.ndarray]) -> np.ndarray:
     """What each unit adds to the gates, the same wherever it stands: a column for each unit."""
     return np.ascontiguousarray((p["embed"] @ p["wx"] + p["b"]).T)
@@ -211,104 +255,117 @@ def score(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, st
 
 
 class Adam:
+    #: Weights at a time: all that belongs to them stays in the cache.
+    BLOCK = 8192
+
     def __init__(self, size: int, rate: float):
+        # Sums of gradients and of their squares that fade by 0.9 and 0.99: ten and a hundred times the means.
         self.m, self.v, self.t, self.rate = np.zeros(size, FLOAT), np.zeros(size, FLOAT), 0, rate
 
     def update(self, vector: np.ndarray, grad: np.ndarray) -> None:
         """Moves vector; grad is overwritten."""
         self.t += 1
-        step = grad - self.m
-        step *= FLOAT(0.1)
-        self.m += step
-        grad *= grad
-        grad -= self.v
-        grad *= FLOAT(0.01)
-        self.v += grad
-        rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        np.sqrt(self.v, out=grad)
-        grad += FLOAT(1e-6)
-        np.multiply(self.m, FLOAT(rate), out=step)
-        step /= grad
-        vector -= step
+        rate = FLOAT(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        for at in range(0, len(vector), self.BLOCK):
+            m, v, to, step = (x[at : at + self.BLOCK] for x in (self.m, self.v, vector, grad))
+            m *= FLOAT(0.9)
+            m += step
+            step *= step
+            v *= FLOAT(0.99)
+            v += step
+            np.sqrt(v, out=step)
+            step += FLOAT(1e-5)
+            np.divide(m, step, out=step)
+            step *= rate
+            to -= step
+
+
+def _errors(x: np.ndarray, chosen: np.ndarray, w: np.ndarray, with_loss: bool) -> float:
+    """Makes each column of x the probabilities it stands for, less one at the chosen row, times w. The sum of the
+    chosen rows' weighted logs, or 0 without loss."""
+    rows = np.arange(len(chosen))
+    own = x[chosen, rows] if with_loss else None
+    x, total, shift = _exponentials(x)
+    x *= w / total
+    x[chosen, rows] -= w
+    return ((own - np.log(total) - shift) * w).sum() if with_loss else 0.0
 
 
 def gradient(vector: np.ndarray, shape: Shape, h0: np.ndarray, target: np.ndarray, given: np.ndarray, start: np.ndarray, live: np.ndarray, with_loss: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
     """(loss a token, or 0 without loss, gradient, last state) of one window; nothing flows into the window before it."""
-    p, n = split(vector, shape), shape.hidden
+    p, n, e = split(vector, shape), shape.hidden, shape.embedding
     steps, b = target.shape
     grad = np.zeros_like(vector)
     g = split(grad, shape)
     weight = (np.arange(b)[None, :] < live[:, None]).astype(FLOAT)
-    gates = _columns(_gates(p), given.ravel()).reshape(3 * n, steps, b)
-    goes_on = (~start).astype(FLOAT)[:, :, None]
-    before, tape = np.empty((n, steps, b), FLOAT), []
-    states, last = np.empty((n, steps, b), FLOAT), h0
+    goes_on = (~start).astype(FLOAT)
+    joined, flat_given = _joined(p, n), given.ravel()
+    # What a step's sums are made of: state before it, embedding, one.
+    flat_x, flat_states = _room(n + e + 1, steps * b, FLOAT), _room(n, steps * b, FLOAT)
+    x, states, gates = flat_x.reshape(-1, steps, b), flat_states.reshape(n, steps, b), np.empty((steps, 2 * n, b), FLOAT)
+    _take(np.ascontiguousarray(p["embed"].T), flat_given, flat_x[n:-1])
+    x[-1] = 1
+    # By how much the gates' sums and the candidate's move with the new state; the reset gate's with the candidate's.
+    by_gates, by_candidate = np.empty_like(gates), np.empty((steps, n, b), FLOAT)
+    sums, less, rest = np.empty((4 * n, b), FLOAT), np.empty((n, b), FLOAT), np.empty((2 * n, b), FLOAT)
+    last = h0.T
     for t in range(steps):
-        h = np.multiply(last, goes_on[t], out=before[:, t].T)
-        last, *kept = _step(gates[:, t].T, h, p["wh"], n)
-        states[:, t] = last.T
-        tape.append(kept)
+        h = np.multiply(last, goes_on[t], out=x[:n, t])
+        last = states[:, t]
+        np.matmul(joined.T, x[:, t], out=sums)
+        _cell(sums, h, gates[t], by_candidate[t], less, last)
+        np.subtract(gates[t], 1, out=rest)
+        np.multiply(gates[t], rest, out=by_gates[t])
+        by_gates[t, :n] *= less
+        by_gates[t, n:] *= sums[3 * n :]
+        by_candidate[t] *= by_candidate[t]
+        by_candidate[t] -= 1
+        by_candidate[t] *= rest[:n]
     flat = target.ravel()
     w = weight.ravel() / max(float(weight.sum()), 1.0)
     # Tokens of a class stand side by side from here on.
     order, classes = _by_class(flat, shape.width)
     held, w = flat[order], w[order]
-    down = _columns_and_one(states.reshape(n, -1), order)
-    rows, width = np.arange(len(flat)), shape.width
-    d, of_class, loss = np.vstack((p["cw"], p["cb"])).T @ down, held // width, 0.0
-    own = d[of_class, rows] if with_loss else None
-    d, total, shift = _exponentials(d)
-    if with_loss:
-        loss -= ((own - np.log(total) - shift) * w).sum()
-    d *= w / total
-    d[of_class, rows] -= w
-    sums = down @ d.T
-    g["cw"][:], g["cb"][:] = sums[:-1], sums[-1]
-    up = p["cw"] @ d
-    inside = np.vstack((p["uw"], p["ub"]))
-    for c, at, slots in classes:
-        part, k = slice(c * width, (c + 1) * width), rows[: len(slots)]
-        x, share = down[:, at], w[at]
-        d = inside[:, part].T @ x
-        own = d[slots, k] if with_loss else None
-        d, total, shift = _exponentials(d)
-        if with_loss:
-            loss -= ((own - np.log(total) - shift) * share).sum()
-        d *= share / total
-        d[slots, k] -= share
-        sums = x @ d.T
-        g["uw"][:, part], g["ub"][part] = sums[:-1], sums[-1]
-        up[:, at] += p["uw"][:, part] @ d
+    down, width, loss = _columns_and_one(flat_states, order), shape.width, 0.0
+    of_classes, inside = _room(shape.classes, len(flat), FLOAT), _room(width, len(flat), FLOAT)
+    np.matmul(p["classes"].T, down, out=of_classes)
+    for c, at, _ in classes:
+        np.matmul(p["inside"][:, c * width : (c + 1) * width].T, down[:, at], out=inside[:, at])
+    for d, chosen in ((of_classes, held // width), (inside, held % width)):
+        loss -= _errors(d, chosen, w, with_loss)
+    np.matmul(down, of_classes.T, out=g["classes"])
+    up = np.matmul(p["cw"], of_classes, out=_room(n, len(flat), FLOAT))
+    for c, at, _ in classes:
+        part = slice(c * width, (c + 1) * width)
+        np.matmul(down[:, at], inside[:, at].T, out=g["inside"][:, part])
+        up[:, at] += p["uw"][:, part] @ inside[:, at]
     back = np.empty_like(order)
-    back[order] = rows
-    dh = _columns(up, back).reshape(n, steps, b)
-    # The candidate's recurrent part goes through the reset gate, its other part doesn't.
-    dgates, reset = np.empty_like(gates), np.empty_like(before)
-    of_gates, of_candidate = p["wh"][:, : 2 * n], p["wh"][:, 2 * n :]
-    carried = np.zeros((n, b), FLOAT).T
+    back[order] = np.arange(len(flat))
+    flat_dh, flat_dsums = _room(n, len(flat), FLOAT), _room(4 * n, len(flat), FLOAT)
+    _take(up, back, flat_dh)
+    dh, dsums, carried = flat_dh.reshape(n, steps, b), flat_dsums.reshape(-1, steps, b), np.zeros((n, b), FLOAT)
+    of_state = joined[:n, n:]
     for t in range(steps - 1, -1, -1):
-        z, r, candidate, own = tape[t]
-        h, own_gates, own_reset = before[:, t].T, dgates[:, t].T, reset[:, t].T
-        up = dh[:, t].T + carried
-        rest = 1 - z
-        dc = up * rest
-        dc *= 1 - candidate * candidate
-        carried = np.multiply(up, z, out=up)
-        np.multiply(carried * (h - candidate), rest, out=own_gates[:, :n])
-        np.multiply(dc, r, out=own_reset)
-        np.multiply(own_reset * own, 1 - r, out=own_gates[:, n : 2 * n])
-        own_gates[:, 2 * n :] = dc
-        carried += (of_gates @ own_gates[:, : 2 * n].T).T
-        carried += (of_candidate @ own_reset.T).T
+        up, own = dh[:, t], dsums[:, t]
+        up += carried
+        dc = np.multiply(up, by_candidate[t], out=own[:n])
+        np.multiply(up, by_gates[t, :n], out=own[n : 2 * n])
+        np.multiply(dc, by_gates[t, n:], out=own[2 * n : 3 * n])
+        # The candidate's recurrent part goes through the reset gate, its other part doesn't.
+        np.multiply(dc, gates[t, n:], out=own[3 * n :])
+        np.matmul(of_state, own[n:], out=carried)
+        up *= gates[t, :n]
+        carried += up
         carried *= goes_on[t]
-    h = before.reshape(n, -1)
-    g["wh"][:, : 2 * n] = h @ dgates[: 2 * n].reshape(2 * n, -1).T
-    g["wh"][:, 2 * n :] = h @ reset.reshape(n, -1).T
-    flat, dgates = given.ravel(), dgates.reshape(3 * n, -1)
-    g["wx"][:], g["b"][:] = p["embed"].take(flat, axis=0).T @ dgates.T, dgates.sum(1)
-    for i, through in enumerate(p["wx"] @ dgates):
-        g["embed"][:, i] = np.bincount(flat, through, shape.units)
-    return float(loss), grad, last
+    from_state, from_input = flat_x[:n] @ flat_dsums[n:].T, flat_x[n:] @ flat_dsums[: 3 * n].T
+    np.negative(from_state[:, : 2 * n], out=g["wh"][:, : 2 * n])
+    g["wh"][:, 2 * n :] = from_state[:, 2 * n :]
+    for name, own in (("wx", from_input[:-1]), ("b", from_input[-1])):
+        np.negative(own[..., n:], out=g[name][..., : 2 * n])
+        g[name][..., 2 * n :] = own[..., :n]
+    for i, through in enumerate(joined[n:-1, : 3 * n] @ flat_dsums[: 3 * n]):
+        g["embed"][:, i] = np.bincount(flat_given, through, shape.units)
+    return float(loss), grad, states[:, -1].T
 
 
 def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, adam: Adam | None = None, steps: int = 16, streams: int | None = None, clip: float = 1.0, rate: float = RATE) -> np.ndarray:
@@ -326,13 +383,14 @@ def train(vector: np.ndarray, shape: Shape, docs: list[np.ndarray], end: int, ad
     streams = min(streams or int(np.clip(len(target) // STREAM_TOKENS, FEW_STREAMS, STREAMS)), len(target))
     long = -(-len(target) // streams)
     lanes = lambda x: np.resize(x, streams * long).reshape(streams, long).T
-    target, given, start = lanes(target), lanes(given), lanes(start)
+    target, given, start = (np.ascontiguousarray(lanes(x)) for x in (target, given, start))
     h = np.zeros((streams, shape.hidden), FLOAT)
     for at in range(0, long, steps):
         part = slice(at, at + steps)
         live = np.full(len(target[part]), streams)
         _, grad, h = gradient(vector, shape, h, target[part], given[part], start[part], live, with_loss=False)
         norm = float(np.sqrt(grad @ grad))
-        grad *= FLOAT(min(1.0, clip / max(norm, 1e-12)))
+        if norm > clip:
+            grad *= FLOAT(clip / norm)
         adam.update(vector, grad)
     return vector

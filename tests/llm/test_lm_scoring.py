@@ -152,3 +152,30 @@ def test_gradient_without_loss_is_the_same():
     loss, want, last = gru.gradient(vector, shape, *window)
     none, got, same = gru.gradient(vector, shape, *window, with_loss=False)
     assert loss > 0 == none and (got == want).all() and (last == same).all()
+
+
+def test_rows_of_windows_do_not_share_cache_lines():
+    for columns in (1, 384, 1024, 6144, 8192, 12_288):
+        x = gru._room(5, columns, gru.FLOAT)
+        assert x.shape == (5, columns) and x.strides[0] % 4096 and x.strides[0] >= 4 * columns
+        assert np.shares_memory(x, x.reshape(5, 1, -1))
+
+
+def test_adam_by_blocks():
+    rng = np.random.default_rng(4)
+    size = gru.Adam.BLOCK + 70
+    adam, got, want = gru.Adam(size, 0.01), np.zeros(size, gru.FLOAT), np.zeros(size)
+    m, v = np.zeros(size), np.zeros(size)
+    for t in range(1, 9):
+        grad = rng.normal(0, 0.1, size)
+        adam.update(got, grad.astype(gru.FLOAT))
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        want -= 0.01 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-6)
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_outputs_with_their_biases():
+    shape, vector = model()
+    p = gru.split(vector, shape)
+    assert (p["classes"] == np.vstack((p["cw"], p["cb"]))).all() and (p["inside"] == np.vstack((p["uw"], p["ub"]))).all()
+    assert np.shares_memory(p["inside"], vector)
