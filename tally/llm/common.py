@@ -6,7 +6,6 @@ only and ``bytes.split`` splits at exactly the six characters 0x20, 0x09-0x0D.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,18 +64,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-@contextlib.contextmanager
-def hash_joins(spark: SparkSession, most: str = "32m") -> Iterator[None]:
-    """What is written meanwhile joins by hash tables instead of sorts where a side's shuffled partitions have at most so many bytes each."""
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def id_col(name: str = "doc_id") -> Column:
     """The id as a long, NO_ID for null: joins and orders treat null as one more, last document."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))

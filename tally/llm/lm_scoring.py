@@ -1,8 +1,9 @@
 """LM scoring: the log-likelihood of whole documents under a gated recurrent model.
 
 Documents are read once into packs: token numbers of about PACK_BYTES of text, and the
-pack's distinct words with their training counts. Words are summed over all packs, and each
-pack gets back the totals of its own words, so no dictionary of the corpus is ever held.
+pack's distinct words with their training counts, dealt by hash into BUCKETS. Each bucket's words
+are summed over all packs, and each pack gets back the totals of its own words, so no dictionary
+of the corpus is ever held, but for one bucket's. Words travel as one row for a pack and bucket.
 The most frequent words are units of the model; every other word belongs to the unit of its
 ending, and inside it has its share of the training counts, so the model is a distribution
 over all words. Training averages weights: in each round every task trains from the same
@@ -41,16 +42,65 @@ PLACES = 1 << 16
 STRIDE = 2
 ROUNDS = STRIDE
 END = b""
-#: Rows of a batch of words; a pack has one row besides them.
-WORD_BATCH = 10_000
+#: Parts that words are counted in, each by itself.
+BUCKETS = 512
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-_PACK = "pack long, word binary, number int, trained long, documents binary"
-_PACK_PA = pa.schema([("pack", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("trained", pa.int64()), ("documents", pa.binary())])
+_PACK = "pack long, bucket int, words binary, documents binary"
+_PACK_PA = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("documents", pa.binary())])
+
+
+def _rows(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
+    """Rows with the columns given and nulls elsewhere."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _joined(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays end to end, each after its size in bytes."""
+    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return b"".join(y for x in parts for y in (np.int64(len(x)).tobytes(), x))
+
+
+def _parted(data: bytes, *kinds: type[np.generic]) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at + 8))
+        at += 8 + size
+    return out
+
+
+def _spelt(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word starts and the last one ends, all bytes) of words without nulls."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
+    return at, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+
+
+def _from_lengths(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _ending_units(words: pa.Array) -> np.ndarray:
+    """Each word's unit if it has none of its own: XXH64 (seed 42) of its last three bytes."""
+    at, data = _spelt(words)
+    ends, n = at[1:].astype(np.int64), np.minimum(np.diff(at), 3)
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = np.uint64(42) + five + n.astype(np.uint64)
+    for back in (3, 2, 1):
+        has = n >= back
+        own = h[has] ^ (data[ends[has] - back].astype(np.uint64) * five)
+        h[has] = ((own << np.uint64(11)) | (own >> np.uint64(53))) * one
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    h ^= h >> np.uint64(32)
+    return WORD_UNITS + (h.view(np.int64) % ENDING_UNITS)
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
@@ -87,7 +137,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _packs(pack_bytes: int):
-    """One row with the documents of each pack, and one for each of its words."""
+    """One row with the documents of each pack, and one for each bucket of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -101,13 +151,16 @@ def _packs(pack_bytes: int):
             own = coded.chunk(0).dictionary
             learnt = np.repeat([not held_out(d) for d in dids], sizes)
             trained = np.bincount(ids[learnt], minlength=len(own))
-            head = _packed(dids, sizes, ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([pack], [None], [None], [None], [head]), _PACK_PA, strict=True)], schema=_PACK_PA)
-            for a in range(0, len(own), 20_000):
-                part = own.slice(a, 20_000)
-                n = len(part)
-                columns = [pa.array(np.full(n, pack)), part, pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(trained[a : a + n])]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_PACK_PA)[4:])], schema=_PACK_PA)
+            yield _rows(_PACK_PA, pack=[pack], documents=[_packed(dids, sizes, ids)])
+            bucket = np.concatenate([[zlib.crc32(w) % BUCKETS for w in own.slice(a, 20_000).to_pylist()] for a in range(0, len(own), 20_000)]).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            (at, data), bucket = _spelt(own.take(pa.array(order))), bucket[order]
+            numbers, trained, lengths = order.astype(np.int32), trained[order], np.diff(at)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+            for i in range(0, len(edges) - 1, 64):
+                spans = list(zip(edges[i : i + 64], edges[i + 1 : i + 65], strict=False))
+                words = [_joined(numbers[a:b], trained[a:b], lengths[a:b], data[at[a] : at[b]]) for a, b in spans]
+                yield _rows(_PACK_PA, pack=[pack] * len(spans), bucket=[int(bucket[a]) for a, _ in spans], words=words)
 
         for b in batches:
             ids, lengths = b.column("doc_id").to_pylist(), pc.binary_length(b.column("text")).to_numpy().astype(np.int64)
@@ -130,6 +183,94 @@ def _packs(pack_bytes: int):
     return run
 
 
+_COUNTED = "pack long, counted binary, sums binary, frequent binary"
+_COUNTED_PA = pa.schema([("pack", pa.int64()), ("counted", pa.binary()), ("sums", pa.binary()), ("frequent", pa.binary())])
+
+
+def _most_frequent(words: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Which WORD_UNITS words (or all) occur most, the smaller word first where counts are equal; none that never occurs."""
+    found = np.flatnonzero(counts > 0)
+    if len(found) > WORD_UNITS:
+        least = np.partition(counts[found], -WORD_UNITS)[-WORD_UNITS]
+        found = found[counts[found] >= least]
+    spelt = pa.table({"count": pa.array(counts[found]), "word": words.take(pa.array(found))})
+    return found[pc.sort_indices(spelt, [("count", "descending"), ("word", "ascending")]).to_numpy()[:WORD_UNITS]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket. For each a row with its sums by ending and its most frequent words, and one for each pack in
+    it: its words' numbers, counts, units by ending, and places among all buckets' most frequent words or -1."""
+
+    def counted(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        pieces = [_parted(x, np.int32, np.int64, np.int32, np.uint8) for _, x in rows]
+        coded = pa.chunked_array([_from_lengths(lengths, data) for _, _, lengths, data in pieces]).dictionary_encode()
+        own, ids = coded.chunk(0).dictionary, [x.indices.to_numpy() for x in coded.chunks]
+        counts = np.zeros(len(own), np.int64)
+        for i, (_, trained, _, _) in zip(ids, pieces, strict=True):
+            # A pack has each word once.
+            counts[i] += trained
+        units, place = _ending_units(own), np.full(len(own), -1, np.int32)
+        top = _most_frequent(own, counts)
+        place[top] = bucket * WORD_UNITS + np.arange(len(top))
+        by = units - WORD_UNITS
+        mass = np.zeros(ENDING_UNITS, np.int64)
+        np.add.at(mass, by, counts)
+        at, data = _spelt(own.take(pa.array(top)))
+        sums = _joined(mass, np.bincount(by[counts > 0], minlength=ENDING_UNITS).astype(np.int64))
+        yield _rows(_COUNTED_PA, sums=[sums], frequent=[_joined(place[top], counts[top], units[top], np.diff(at), data[: at[-1]])])
+        units = units.astype(np.uint16)
+        for k in range(0, len(rows), 64):
+            of = range(k, min(k + 64, len(rows)))
+            yield _rows(_COUNTED_PA, pack=[rows[j][0] for j in of], counted=[_joined(pieces[j][0], counts[ids[j]], units[ids[j]], place[ids[j]]) for j in of])
+
+    bucket, rows = None, []
+    for b in batches:
+        for own, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "pack", "words")), strict=True):
+            if own != bucket and rows:
+                yield from counted(bucket, rows)
+                rows = []
+            bucket = own
+            rows.append(row)
+    if rows:
+        yield from counted(bucket, rows)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All buckets' sums and the most frequent words of them all, in one row."""
+    sums, frequent = [], []
+    for b in batches:
+        sums += [_parted(x, np.int64, np.int64) for x in b.column("sums").to_pylist()]
+        frequent += [_parted(x, np.int32, np.int64, np.int64, np.int32, np.uint8) for x in b.column("frequent").to_pylist()]
+    if sums:
+        place, counts, units, lengths, data = map(np.concatenate, zip(*frequent, strict=True))
+        words = _from_lengths(lengths, data)
+        top = _most_frequent(words, counts)
+        at, data = _spelt(words.take(pa.array(top)))
+        mass, distinct = (np.sum(x, axis=0) for x in zip(*sums, strict=True))
+        yield _rows(_COUNTED_PA, sums=[_joined(mass, distinct)], frequent=[_joined(place[top], counts[top], units[top], np.diff(at), data[: at[-1]])])
+
+
+def _placed(places: np.ndarray, bind):
+    """A pack's rows as bind takes them: one for each word with its unit, that of its own if its place is among places."""
+    order = np.argsort(places)
+    held = np.append(places[order], np.iinfo(np.int32).max)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pack", "place", "documents", "count"]
+        for b in batches:
+            for pack, counted, documents in zip(*(b.column(n).to_pylist() for n in ("pack", "counted", "documents")), strict=True):
+                if counted is None:
+                    place, count, head = np.array([-1]), np.array([0]), pa.array([documents], pa.binary())
+                else:
+                    numbers, count, units, at = _parted(counted, np.int32, np.int64, np.uint16, np.int32)
+                    found = np.searchsorted(held, at)
+                    place = numbers.astype(np.int64) * PLACES + np.where(held[found] == at, np.append(order, 0)[found], units)
+                    head = pa.nulls(len(place), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), pack)), pa.array(place), head, pa.array(count)], names=names)
+
+    return lambda batches: bind(words(batches))
+
+
 _BOUND = "dids array<long>, sizes array<int>, known array<int>, base array<double>, inside array<double>, units binary"
 _BOUND_PA = pa.schema([("dids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())), ("units", pa.binary())])
 
@@ -181,37 +322,36 @@ class Corpus:
     def __init__(self, docs: DataFrame, pack_bytes: int = PACK_BYTES):
         spark = docs.sparkSession
         C.small_batches(spark)
+        self.tokens = self.distinct = 0
         plain = docs.select(F.col("doc_id").cast("long"), C.text_col().alias("text"))
         packs = C.staged(plain.mapInArrow(_packs(pack_bytes), _PACK), "packs")
-        words = packs.filter("word IS NOT NULL").select("pack", "word", "number", "trained")
-        counts = C.staged(words.groupBy("word").agg(F.sum("trained").alias("count")), "counts")
-        n = counts.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
-        self.tokens, self.distinct = int(n[0] or 0), int(n[1])
-        # At most WORD_UNITS rows, and ENDING_UNITS below.
-        top = counts.filter("count > 0").orderBy(F.desc("count"), "word").limit(WORD_UNITS).collect()
-        own = spark.createDataFrame([(bytes(r.word), i) for i, r in enumerate(top)], "word binary, place int")
-        ending = F.lit(WORD_UNITS) + F.pmod(F.xxhash64(F.expr("substring(word, -3, 3)")), F.lit(ENDING_UNITS)).cast("int")
-        placed = counts.join(F.broadcast(own), "word", "left").withColumn("unit", F.coalesce("place", ending))
-        rest = {r.unit: r.mass for r in placed.filter("place IS NULL").groupBy("unit").agg((F.sum("count") + F.count(F.when(F.col("count") > 0, 1)) * ADDED + ADDED).alias("mass")).collect()}
-        ending_mass = {WORD_UNITS + i: float(rest.get(WORD_UNITS + i, ADDED)) for i in range(ENDING_UNITS)}
-        of_pack = words.join(placed.select("word", "count", "unit"), "word").select("pack", F.expr(f"number * {PLACES}L + unit").alias("place"), "count")
-        heads = packs.filter("word IS NULL").select("pack", F.lit(-1).cast("long").alias("place"), "documents")
+        words = packs.filter("bucket IS NOT NULL").select("pack", "bucket", "words")
+        counts = C.staged(words.repartition(C.partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, _COUNTED), "counts")
+        # BUCKETS rows, of at most WORD_UNITS words each.
+        merged = counts.filter("pack IS NULL").repartition(1).mapInArrow(_merged, _COUNTED).collect()
+        top, places, rest, kinds = [], np.empty(0, np.int32), np.zeros(ENDING_UNITS, np.int64), np.zeros(ENDING_UNITS, np.int64)
+        for r in merged:
+            rest, kinds = (x.copy() for x in _parted(bytes(r.sums), np.int64, np.int64))
+            self.tokens, self.distinct = int(rest.sum()), int(kinds.sum())
+            places, own, units, lengths, data = _parted(bytes(r.frequent), np.int32, np.int64, np.int64, np.int32, np.uint8)
+            top = list(zip(_from_lengths(lengths, data).to_pylist(), own.tolist(), strict=True))
+            np.subtract.at(rest, units - WORD_UNITS, own)
+            np.subtract.at(kinds, units - WORD_UNITS, 1)
+        ending_mass = {WORD_UNITS + i: float(rest[i] + kinds[i] * ADDED + ADDED) for i in range(ENDING_UNITS)}
+        heads = packs.filter("bucket IS NULL").select("pack", "documents")
         # A task binds about one pack, however many there are.
-        tasks = max(C.partitions(spark), packs.filter("word IS NULL").count())
-        both = heads.unionByName(of_pack, allowMissingColumns=True).repartition(tasks, "pack").sortWithinPartitions("pack")
-        C.small_batches(spark, WORD_BATCH)
-        with C.hash_joins(spark):
-            self.bound = C.staged(both.mapInArrow(_bind(self.tokens, self.distinct, ending_mass), _BOUND), "bound")
-        C.small_batches(spark)
+        tasks = max(C.partitions(spark), heads.select("pack").count())
+        both = heads.unionByName(counts.filter("pack IS NOT NULL").select("pack", "counted"), allowMissingColumns=True).repartition(tasks, "pack").sortWithinPartitions("pack")
+        self.bound = C.staged(both.mapInArrow(_placed(places, _bind(self.tokens, self.distinct, ending_mass)), _BOUND), "bound")
         mass = np.full(WORD_UNITS + ENDING_UNITS, 1e-9)
-        mass[: len(top)] = [r["count"] + ADDED for r in top]
+        mass[: len(top)] = [count + ADDED for _, count in top]
         mass[WORD_UNITS:] = [ending_mass[WORD_UNITS + i] for i in range(ENDING_UNITS)]
         # The model numbers units by frequency.
         order = np.argsort(-mass, kind="stable")
         self.rank = np.empty(len(mass), np.int64)
         self.rank[order] = np.arange(len(mass))
         self.mass = mass[order]
-        self.end = int(self.rank[next((i for i, r in enumerate(top) if bytes(r.word) == END), WORD_UNITS)])
+        self.end = int(self.rank[next((i for i, (word, _) in enumerate(top) if word == END), WORD_UNITS)])
 
     def shape(self) -> gru.Shape:
         return gru.Shape(len(self.mass))

@@ -179,3 +179,50 @@ def test_outputs_with_their_biases():
     p = gru.split(vector, shape)
     assert (p["classes"] == np.vstack((p["cw"], p["cb"]))).all() and (p["inside"] == np.vstack((p["uw"], p["ub"]))).all()
     assert np.shares_memory(p["inside"], vector)
+
+
+def test_units_by_ending_are_spark_hashes(spark):
+    words = [b"", b"a", b"ab", b"abc", b"\x00\xff\x80", "größe".encode(), b"of seven"]
+    got = L._ending_units(pa.array([b"left out", *words], pa.binary()).slice(1)).tolist()
+    rows = spark.createDataFrame([(w,) for w in words], "word binary")
+    hashed = rows.selectExpr(f"pmod(xxhash64(substring(word, -3, 3)), {L.ENDING_UNITS}) AS unit").collect()
+    assert got == [L.WORD_UNITS + r.unit for r in hashed]
+
+
+def test_most_frequent_words(monkeypatch):
+    monkeypatch.setattr(L, "WORD_UNITS", 3)
+    words = pa.array([b"d", b"none", b"c", b"b", b"a", b""], pa.binary())
+    assert L._most_frequent(words, np.array([1, 0, 1, 9, 1, 1])).tolist() == [3, 5, 4]
+    assert L._most_frequent(words, np.zeros(6, np.int64)).tolist() == []
+
+
+def test_words_are_counted_over_all_packs():
+    """A pack is a row for each bucket of its words, not for each word."""
+    packs = {4: {b"x": (0, 2), b"the": (1, 5), b"": (2, 3)}, 9: {b"the": (0, 4), b"new": (1, 0)}}
+    rows = []
+    for pack, words in packs.items():
+        numbers, trained = (np.array([w[i] for w in words.values()], t) for i, t in ((0, np.int32), (1, np.int64)))
+        rows.append({"pack": pack, "bucket": 7, "words": L._joined(numbers, trained, np.array([len(w) for w in words], np.int32), b"".join(words))})
+    out = [r for b in L._counted(iter(pa.Table.from_pylist(rows, L._PACK_PA).to_batches(max_chunksize=1))) for r in b.to_pylist()]
+    sums = next(L._merged(iter([L._rows(L._COUNTED_PA, **{k: [out[0][k]] for k in ("sums", "frequent")})]))).to_pylist()[0]
+    mass, distinct = L._parted(sums["sums"], np.int64, np.int64)
+    assert (mass.sum(), distinct.sum()) == (14, 3)
+    place, counts, _, lengths, data = L._parted(sums["frequent"], np.int32, np.int64, np.int64, np.int32, np.uint8)
+    assert L._from_lengths(lengths, data).to_pylist() == [b"the", b"", b"x"] and counts.tolist() == [9, 3, 2]
+    seen = []
+    bind = lambda batches: [seen.extend(b.to_pylist()) for b in batches]
+    table = pa.Table.from_pylist([{"pack": r["pack"], "counted": r["counted"], "documents": None} for r in out[1:]] + [{"pack": 9, "counted": None, "documents": b"head"}])
+    L._placed(place, bind)(iter(table.to_batches()))
+    by = {(r["pack"], r["place"] // L.PLACES): (r["count"], r["place"] % L.PLACES) for r in seen if r["place"] >= 0}
+    new = int(L._ending_units(pa.array([b"new"], pa.binary()))[0])
+    assert by == {(4, 0): (2, 2), (4, 1): (9, 0), (4, 2): (3, 1), (9, 0): (9, 0), (9, 1): (0, new)}
+    assert [r["documents"] for r in seen if r["place"] < 0] == [b"head"]
+
+
+def test_a_pack_is_few_rows(spark, docs_of):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(40)]
+    plain = docs_of(rows).select("doc_id", "text").coalesce(1)
+    out = plain.mapInArrow(L._packs(L.PACK_BYTES), L._PACK).collect()
+    assert len(out) <= L.BUCKETS + 1
+    words = [w for r in out if r.words is not None for w in L._from_lengths(*L._parted(bytes(r.words), np.int32, np.int64, np.int32, np.uint8)[2:]).to_pylist()]
+    assert len(words) == len(set(words)) == 16_001
