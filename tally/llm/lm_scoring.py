@@ -152,7 +152,8 @@ def _packs(pack_bytes: int):
             learnt = np.repeat([not held_out(d) for d in dids], sizes)
             trained = np.bincount(ids[learnt], minlength=len(own))
             yield _rows(_PACK_PA, pack=[pack], documents=[_packed(dids, sizes, ids)])
-            bucket = np.concatenate([[zlib.crc32(w) % BUCKETS for w in own.slice(a, 20_000).to_pylist()] for a in range(0, len(own), 20_000)]).astype(np.uint16)
+            hashed = [np.fromiter(map(zlib.crc32, own.slice(a, 20_000).to_numpy(zero_copy_only=False)), np.uint32) for a in range(0, len(own), 20_000)]
+            bucket = (np.concatenate(hashed) % BUCKETS).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             (at, data), bucket = _spelt(own.take(pa.array(order))), bucket[order]
             numbers, trained, lengths = order.astype(np.int32), trained[order], np.diff(at)
